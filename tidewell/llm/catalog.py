@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe
+from tidewell.llm import bpe, winnow
 
 QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op10_winnowing": winnow.op10_winnowing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_winnowing": winnow.OP10_SQL,
+}
