@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, winnow
+from tidewell.llm import bpe, pii, winnow
 
 QUERIES = {
+    "op3_anchor_expansion": pii.op3_anchor_expansion,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op10_winnowing": winnow.op10_winnowing,
 }
