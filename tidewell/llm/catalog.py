@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, pii, winnow
+from tidewell.llm import bpe, pii, quality, winnow
 
 QUERIES = {
+    "op1_line_frequency": quality.op1_line_frequency,
     "op3_anchor_expansion": pii.op3_anchor_expansion,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op10_winnowing": winnow.op10_winnowing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_frequency": quality.OP1_SQL,
     "op10_winnowing": winnow.OP10_SQL,
 }
