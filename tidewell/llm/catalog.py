@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, pii, quality, winnow
+from tidewell.llm import bpe, pii, quality, sharding, winnow
 
 QUERIES = {
     "op1_line_frequency": quality.op1_line_frequency,
+    "op2_extendible_hashing": sharding.op2_extendible_hashing,
     "op3_anchor_expansion": pii.op3_anchor_expansion,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op10_winnowing": winnow.op10_winnowing,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_frequency": quality.OP1_SQL,
+    "op2_extendible_hashing": sharding.OP2_SQL,
     "op10_winnowing": winnow.OP10_SQL,
 }
