@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, lines, pii, quality, secrets, sharding, winnow
+from tidewell.llm import bayes, bpe, lines, pii, quality, secrets, sharding, winnow
 
 QUERIES = {
     "op1_line_frequency": quality.op1_line_frequency,
     "op2_extendible_hashing": sharding.op2_extendible_hashing,
     "op3_anchor_expansion": pii.op3_anchor_expansion,
+    "op4_hierarchical_bayes": bayes.op4_hierarchical_bayes,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_secret_forest": secrets.op7_secret_forest,
     "op9_segment_join": lines.op9_segment_join,
