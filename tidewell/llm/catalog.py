@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bayes, bpe, lines, pii, quality, secrets, sharding, winnow
+from tidewell.llm import bayes, bpe, lines, minhash, pii, quality, secrets, sharding, winnow
 
 QUERIES = {
     "op1_line_frequency": quality.op1_line_frequency,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_hierarchical_bayes": bayes.op4_hierarchical_bayes,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_secret_forest": secrets.op7_secret_forest,
+    "op8_weighted_minhash": minhash.op8_weighted_minhash,
     "op9_segment_join": lines.op9_segment_join,
     "op10_winnowing": winnow.op10_winnowing,
 }
