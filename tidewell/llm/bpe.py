@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm import common
+from tidewell.llm import common, vector
 
 LEAF = 16
 SCANNED = 64
@@ -147,15 +148,21 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.monoid = Monoid(ranks)
         self.find = regex.compile(pattern).findall
-        self.piece = Recent(lambda piece: tuple(self.monoid.piece(piece.encode())))
-        self.stretch = Recent(lambda stretch: tuple(chain.from_iterable(map(self.piece.__getitem__, self.find(" " + stretch)))))
+        # Ids are kept as the bytes of 32-bit numbers, which join without a step for each.
+        self.piece = Recent(lambda piece: array("i", self.monoid.piece(piece.encode())).tobytes())
+        self.stretch = Recent(lambda stretch: self.pieces(" " + stretch))
 
-    def __call__(self, text: str) -> np.ndarray:
+    def pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece.__getitem__, self.find(text)))
+
+    def packed(self, text: str) -> bytes:
         if self.beside_space(text):
-            return np.fromiter(chain.from_iterable(map(self.piece.__getitem__, self.find(text))), np.int32)
+            return self.pieces(text)
         first, *rest = text.split(" ")
-        lists = chain(map(self.piece.__getitem__, self.find(first)), map(self.stretch.__getitem__, rest))
-        return np.fromiter(chain.from_iterable(lists), np.int32)
+        return self.pieces(first) + b"".join(map(self.stretch.__getitem__, rest))
+
+    def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", into: str = "token_ids") -> DataFrame:
@@ -172,10 +179,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         encoder = Encoder(shared.value, pattern)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [encoder(t) for t in common.texts(batch, text_col)]
+            ids = [encoder.packed(t) for t in common.texts(batch, text_col)]
             offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
 
         return run
@@ -189,11 +196,34 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", i
     df = df.drop(into)
 
     def make():
-        token = {rank: data for data, rank in shared.value.items()}.__getitem__
+        ranks = shared.value
+        sizes, starts = np.zeros(max(ranks.values(), default=-1) + 1, np.int64), np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
+        order = sorted(ranks, key=ranks.__getitem__)
+        pool = np.frombuffer(b"".join(order), np.uint8)
+        starts[1:] = np.cumsum(sizes)[:-1]
+
+        def product(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The bytes of all ids, and where those of each end."""
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+                raise ValueError("an id is not in the vocabulary")
+            own = sizes[ids]
+            ends = np.cumsum(own)
+            at = np.arange(int(ends[-1]) if len(ends) else 0)
+            return pool[at + np.repeat(starts[ids] - ends + own, own)], ends
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            column = pa.array([b"".join(map(token, ids or ())) for ids in lists], pa.binary())
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            counts = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            parts, cuts = [], [0]
+            for a, b in vector.pieces(counts, 1 << 18):
+                data, ends = product(ids[counts[a] : counts[b]])
+                ends = np.concatenate([[0], ends])[counts[a + 1 : b + 1] - counts[a]]
+                parts.append(data.tobytes())
+                cuts += (ends + cuts[-1]).tolist()
+            column = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.array(cuts, np.int32)), pa.py_buffer(b"".join(parts))])
             return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
 
         return run
