@@ -3,17 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import common
+from tidewell.llm import bpe, common, lines, minhash, quality, winnow
 
-STAGES: list = []
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """Documents whose text has changed, with their length put right."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without lines that too many documents of their host have."""
+    return _recounted(quality.filtered(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines found before; those of which no line is left go."""
+    return _recounted(lines.deduplicated(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is shared with the benchmark."""
+    return winnow.decontaminate(docs, common.read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, and digests of ids and of the text decoded from them."""
+    ranks, pattern = bpe.vocabulary()
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern), ranks)).drop("decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: Weighted sampling and byte-pair merges have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``, each result written to the shared folder and read again."""
+    stash = common.Stash(spark)
     docs = common.read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
