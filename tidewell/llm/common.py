@@ -86,6 +86,14 @@ def row_key(*columns: str | Column) -> list[Column]:
     return [F.xxhash64(F.lit(17), *parts).alias("k1"), F.xxhash64(F.lit(8191), *reversed(parts)).alias("k2")]
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: it is joined by a shuffle at any size, never broadcast.
+
+    The plan is then the same for small and large inputs, and a hot key's partition can be split.
+    """
+    return df.hint("merge")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of ``df`` in any letter case."""
     taken = {c.lower() for c in df.columns}

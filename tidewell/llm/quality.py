@@ -106,7 +106,7 @@ def rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_d
     a, b = common.row_key(host_col, text_col)
     base = with_base(df, text_col, tuple(names[:5])).withColumns({k1: a, k2: b})
     return (
-        base.join(removed, [k1, k2], "left")
+        base.join(common.sorted_side(removed), [k1, k2], "left")
         .withColumn(gone, F.coalesce(gone, F.lit(0).cast("long")))
         .withColumn(failed, (F.col(n) < 50) | (100 * F.col(repeat) > 50 * F.col(n)))
         .withColumn(kept, ~F.col(failed) & (min_share[1] * (F.col(n) - F.col(gone)) >= min_share[0] * F.col(n)))
