@@ -237,8 +237,8 @@ def links(df: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> Da
     nodes = stash(signed.groupBy("node").agg(F.first("bands").alias("bands")))  # equal texts have equal bands
     pairs = stash(candidates(nodes))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    known = stash(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    joined = pairs.join(known.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(known.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    known = stash(docs.join(common.sorted_side(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    joined = pairs.join(common.sorted_side(known.select(F.col("node").alias("u"), F.col("text").alias("text_u"))), "u").join(common.sorted_side(known.select(F.col("node").alias("v"), F.col("text").alias("text_v"))), "v")
     found = stash(similarity(joined, weights).where(F.col("similarity") >= similar - 1e-9))
     stash.drop(known)
     stash.drop(nodes)
@@ -256,24 +256,29 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     found = links(df, text_col, similar)
     degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     groups = components(found).join(degree, "node")
-    members = stash(df.select(F.col(id_col).alias("id"), node_of(text_col).alias("node")).join(groups, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links")))
+    members = stash(df.select(F.col(id_col).alias("id"), node_of(text_col).alias("node")).join(common.sorted_side(groups), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links")))
     names = members.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
-    return members.join(names.where("size > 1"), "root", "left").select(F.col("id").alias(id_col), F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "node")
+    return members.join(common.sorted_side(names.where("size > 1")), "root", "left").select(F.col("id").alias(id_col), F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "node")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row of each class, in the columns of ``df``: that of the least id, nulls last, then of the least digest."""
-    found = links(df, text_col, similar)
-    node, root = common.fresh(df, "node", "root")
-    groups = components(found).withColumnsRenamed({"node": node, "root": root})
-    keyed = df.withColumn(node, node_of(text_col)).join(groups, node, "left").withColumn(root, F.coalesce(root, node))
-    rest = [F.to_json(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]))]
-    place = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.xxhash64(*rest).alias("h"))
-    first = keyed.groupBy(root).agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
-    judged = keyed.join(first, root, "left")
-    alone = judged.where("first is null")
-    chosen = judged.where(F.col("first").isNotNull() & (place == F.col("first"))).dropDuplicates([root])
-    return alone.select(*[F.col(f"`{c}`") for c in df.columns]).union(chosen.select(*[F.col(f"`{c}`") for c in df.columns]))
+    stash = common.Stash(df.sparkSession)
+    groups = components(links(df, text_col, similar))
+    others = [F.to_json(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]))]
+    k1, k2 = common.fresh(df, "k1", "k2")
+    a, b = common.row_key(id_col, text_col, *others)
+    keyed = df.withColumns({k1: a, k2: b})
+    # The choice is made on narrow rows; texts are shuffled once, to take out the rows that go.
+    narrow = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(id_col).alias("id"), node_of(text_col).alias("node"))
+    placed = stash(narrow.join(common.sorted_side(groups), "node", "left").select("k1", "k2", "id", "node", F.coalesce("root", "node").alias("root")))
+    place = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("node"), F.col("k1"), F.col("k2"))
+    first = placed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
+    judged = placed.join(common.sorted_side(first), "root").groupBy("k1", "k2").agg(F.max((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))).alias("wins"), F.count("*").alias("copies"))
+    judged = stash(judged.where("not wins or copies > 1").withColumnsRenamed({"k1": k1, "k2": k2}))
+    rest = keyed.join(common.sorted_side(judged.select(k1, k2)), [k1, k2], "left_anti")
+    repeated = keyed.join(judged.where("wins").select(k1, k2), [k1, k2], "left_semi").dropDuplicates([k1, k2])  # equal rows that win
+    return rest.union(repeated).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
