@@ -60,9 +60,20 @@ def with_base(df: DataFrame, text_col: str, names: tuple[str, ...]) -> DataFrame
     return common.arrow_map(df, make, schema)
 
 
+WORDED = r"[^\x20\x09-\x0D]"
+
+
 def normalised(line: Column) -> Column:
-    """Lower-cased A-Z, white space collapsed and trimmed; empty for a line without words."""
-    return F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+    """Lower-cased A-Z, white space collapsed and trimmed; empty for a line without words.
+
+    The general functions are kept for the lines that need them: ASCII is lower-cased as bytes, and single spaces stay.
+    """
+    ascii_only = F.octet_length(line) == F.length(line)
+    low = F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    uneven = F.contains(line, F.lit("  "))
+    for c in "\t\n\x0b\x0c\r":
+        uneven |= F.contains(line, F.lit(c))
+    return F.trim(F.when(uneven, F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
 
 
 def n_words(line: Column) -> Column:
