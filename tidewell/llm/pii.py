@@ -24,7 +24,7 @@ from collections import defaultdict
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,6 +171,11 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """Spans of one kind. The lambda has one parameter: a second one would be the place in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op3_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = find(common.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -178,7 +183,7 @@ def op3_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda s: s["kind"].isin("email", "ip", "card", "phone"))
     return found.select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
+        *[count_of(spans, k).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
