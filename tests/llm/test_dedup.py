@@ -118,6 +118,28 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, paired):
     assert kept.columns == docs.columns and kept.count() == minhash.classes(docs).selectExpr("coalesce(class_id, -1) c").distinct().count()
 
 
+def test_near_copies_within_a_template(spark, monkeypatch):
+    shared = [f"s{i}" for i in range(170)]
+    texts = []
+    for i in range(250):
+        own = [f"w{i}x{k}" for k in range(34)]
+        texts.append(" ".join(shared + own))
+        for p in (5, 13, 21, 28):
+            own[p] = "changed"
+        texts.append(" ".join(shared + own))
+    # Equal weights, as where the template is a small part of a corpus: 0.69 to each other, 0.82 to the copy.
+    weights = minhash.Weights(10**6, {})
+    monkeypatch.setattr(minhash, "weigh", lambda docs, text_col="text": weights)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    rows, got, counts = minhash.shingles(raw, np.cumsum([0, *map(len, texts)]))
+    drawn = minhash.samples(rows, got, weights(got, counts))
+    same = (drawn[0::2] == drawn[1::2]).reshape(250, minhash.ROWS, minhash.BANDS).all(axis=1).any(axis=1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    assert same.sum() > 240 and [i for i in range(250) if same[i] and found[2 * i + 1] != 2 * i] == []
+    assert all(found[2 * i] == 2 * i for i in range(250))
+
+
 def test_common_shingles_weigh_less(spark):
     docs = spark.createDataFrame([(f"all of these say the same and then {i} differ",) for i in range(100)], "text string")
     weights = minhash.weigh(docs)

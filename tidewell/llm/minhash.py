@@ -8,8 +8,9 @@ by hash bucket leave few buckets that can hold one, and the shingles of those ar
 Consistent weighted sampling draws, for each of ``BANDS * ROWS`` seeds, a shingle and a level so that two documents agree
 with the probability of their weighted Jaccard similarity. Texts that agree on all rows of a band share a bucket.
 Equal texts are one node throughout. In a bucket of up to ``PAIRED`` texts each is compared with each; in a larger one
-all are compared with one of them, drawn by hash, and the bucket is split by the next band, again and again, so the
-work is linear in its size. Candidates become links if their exact weighted Jaccard similarity reaches ``SIMILAR``.
+all are compared with one of them, drawn by hash, and the bucket is split by the next band, again and again. Candidates
+become links if their exact weighted Jaccard similarity reaches ``SIMILAR``. Texts of larger buckets that are not in one
+class by then are joined through an index of their rarest shingles, which misses no pair that is similar enough.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +193,55 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the texts in buckets of more than ``PAIRED`` that hold more than one class."""
+    stash = common.Stash(nodes.sparkSession)
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED).select("key")
+    full = stash(rows.join(sizes, "key").join(common.sorted_side(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return stash(full.join(mixed, "key", "left_semi").select("node", "root").distinct())
+
+
+def weighted(df: DataFrame, weights: Weights) -> DataFrame:
+    """``node``, ``root``, ``shingle`` and ``weight`` for every distinct shingle of every ``text``."""
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+    node_at, root_at, text_at = (df.columns.index(c) for c in ("node", "root", "text"))
+    common.bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigher = shared.value
+        for batch in batches:
+            for a, _, rows, got, counts in chunks(batch.column(text_at)):
+                at = pa.array(rows + a)
+                columns = [batch.column(node_at).take(at), batch.column(root_at).take(at), pa.array(got.view(np.int64)), pa.array(weigher(got, counts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "shingle", "weight"])
+
+    return df.mapInArrow(run, "node binary, root binary, shingle long, weight double")
+
+
+def indexed_pairs(texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
+    """Pairs of ``node`` of different ``root`` that may be similar enough: all that are, and few others.
+
+    Shingles are ordered by the number of texts that have them. Similar texts share at least ``similar`` of the weight of
+    the heavier one, and 2 s / (1 + s) of that of the lighter one; so they share a shingle of those that come before the
+    last such share of each.
+    """
+    stash = common.Stash(texts.sparkSession)
+    every = stash(weighted(texts, weights))
+    known = every.groupBy("shingle").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("node")
+    before = F.sum("weight").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    placed = every.join(common.sorted_side(known), "shingle").withColumns({"total": F.sum("weight").over(own), "before": F.coalesce(before, F.lit(0.0))})
+    left = (F.col("total") - F.col("before")) / F.col("total") + 1e-9
+    first = stash(placed.where((F.col("n") > 1) & (left >= similar)).select("node", "root", "shingle", "total", (left >= 2 * similar / (1 + similar)).alias("rare")))
+    light = first.where("rare").select("shingle", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("total").alias("total_u"))
+    heavy = first.select("shingle", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("total").alias("total_v"))
+    ordered = (F.struct("total_u", "u") < F.struct("total_v", "v")) & (F.col("total_u") >= (similar - 1e-9) * F.col("total_v"))
+    met = light.join(common.sorted_side(heavy), "shingle").where((F.col("root_u") != F.col("root_v")) & ordered)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similarity(pairs: DataFrame, weights: Weights, left: str = "text_u", right: str = "text_v", into: str = "similarity") -> DataFrame:
     """Exact weighted Jaccard similarity of two text columns, which it replaces."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
@@ -238,8 +288,18 @@ def links(df: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> Da
     pairs = stash(candidates(nodes))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     known = stash(docs.join(common.sorted_side(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    joined = pairs.join(common.sorted_side(known.select(F.col("node").alias("u"), F.col("text").alias("text_u"))), "u").join(common.sorted_side(known.select(F.col("node").alias("v"), F.col("text").alias("text_v"))), "v")
-    found = stash(similarity(joined, weights).where(F.col("similarity") >= similar - 1e-9))
+
+    def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
+        joined = some.join(common.sorted_side(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))), "u").join(common.sorted_side(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))), "v")
+        return stash(similarity(joined, weights).where(F.col("similarity") >= similar - 1e-9))
+
+    found = verified(pairs, known)
+    crowd = crowded(nodes, components(found))
+    if not crowd.isEmpty():
+        # Members of a bucket are candidates, so their texts are known.
+        texts = known.join(common.sorted_side(crowd), "node")
+        more = stash(indexed_pairs(texts, weights, similar))
+        found = found.union(verified(more, known))
     stash.drop(known)
     stash.drop(nodes)
     return found
