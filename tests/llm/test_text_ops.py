@@ -196,6 +196,15 @@ def test_bayes_of_odd_rows(spark, odd):
     assert bayes.judge(odd, model).count() == len(ODD) and bayes.judge(odd.limit(0), model).count() == 0
 
 
+def test_candidates_after_equals_signs(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [f"AWS_SECRET_ACCESS_KEY={value}", f"export api_key={value}== # x", f"https://a.org/?access_token={value}&b=1", f"token:{value}", f"x = {value}==="]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = sorted((r.id, r.candidate, r.start, r.before) for r in secrets.candidates(docs, "doc_id", "text", "source").collect())
+    assert [(i, c) for i, c, _, _ in got] == [(0, value), (1, value + "=="), (2, value), (3, value), (4, value + "==")]
+    assert all(s == texts[i].index(value) and texts[i][:s].endswith(b) and b[-1] in "=:' " for i, _, s, b in got)
+
+
 def test_forest_on_held_out_findings(spark, odd):
     from pyspark.sql import functions as F
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import common
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A run is no candidate if a value is assigned to it, so names stay beside their values.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}={0,2}(?!=*[A-Za-z0-9+/_-])"
 CUES = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|credential|bearer|authorization|private[_-]?key|auth)\W{0,8}$"
 INNOCENT = r"(?i)(?:sha1|sha256|sha512|md5|commit|checksum|digest|uuid|guid|etag|integrity|build|revision|hash|example|sample|placeholder)\W{0,8}$"
 SYLLABLES = "(?i)tion|ing|the|ent|and|ion|ment|con|ver|ter|ist|able|ness|ity|der|ein|ich|sch|ung|heit|keit|eau|oux|que|ado|ción|mente|os|er|en|an|re|at|on|or|es|ed|th|st|nd|ha|ea|ou|in|le|de|al"
