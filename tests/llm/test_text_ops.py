@@ -205,6 +205,18 @@ def test_candidates_after_equals_signs(spark):
     assert all(s == texts[i].index(value) and texts[i][:s].endswith(b) and b[-1] in "=:' " for i, _, s, b in got)
 
 
+def test_candidates_of_any_length(spark):
+    long = "aB3/" * 2000
+    texts = [f"key {long} end", "password=Xk92!x", "the password: hunter2", 'pwd = "a1"', "the author: Jane and a token of love", f"jwt={long}=="]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = sorted((r.id, r.candidate, r.start) for r in secrets.candidates(docs, "doc_id", "text", "source").collect())
+    assert got == [(0, long, 4), (1, "Xk92", 9), (2, "hunter2", 14), (3, "a1", 7), (5, long + "==", 4)]
+    forest = secrets.train(secrets.labelled_findings(spark, 4000))
+    said = [("q1", "password=Zq81x0Rb4"), ("q2", "password: required"), ("q3", "token: the")]
+    verdicts = {r.doc_id: r.is_secret for r in secrets.scan(spark.createDataFrame([(*x, None) for x in said], "doc_id string, text string, source string"), forest).collect()}
+    assert verdicts == {"q1": True, "q2": False, "q3": False}
+
+
 def test_forest_on_held_out_findings(spark, odd):
     from pyspark.sql import functions as F
 

@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import common
 
-#: A run is no candidate if a value is assigned to it, so names stay beside their values.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}={0,2}(?!=*[A-Za-z0-9+/_-])"
-CUES = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|credential|bearer|authorization|private[_-]?key|auth)\W{0,8}$"
+WORDED = r"(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|credential|bearer|authorization|private[_-]?key|auth)"
+CUES = rf"(?i){WORDED}\W{{0,8}}$"
+#: Shorter runs are candidates where a cue is assigned to; the first lookbehind is only there to fail early.
+CUED = rf"(?<=[=:]|[=:][\"'`]|[=:]\s{{1,2}}[\"'`]?)(?<=(?i:{WORDED})[\"'`]?\s{{0,2}}[=:]\s{{0,2}}[\"'`]?)"
+#: Over 512 times one character is filling. A run is no candidate if a value is assigned to it, so names stay beside their values.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?!([A-Za-z0-9+/_-])\1{{512,}}+(?![A-Za-z0-9+/_-]))(?:[A-Za-z0-9+/_-]{{16,}}+|{CUED}[A-Za-z0-9+/_-]{{1,15}}+)={{0,2}}(?!=*[A-Za-z0-9+/_-])"
+MAYBE = rf"[A-Za-z0-9+/_-]{{16}}|(?i:{WORDED})[\"'`]?\s{{0,2}}[=:]"
 INNOCENT = r"(?i)(?:sha1|sha256|sha512|md5|commit|checksum|digest|uuid|guid|etag|integrity|build|revision|hash|example|sample|placeholder)\W{0,8}$"
 SYLLABLES = "(?i)tion|ing|the|ent|and|ion|ment|con|ver|ter|ist|able|ness|ity|der|ein|ich|sch|ung|heit|keit|eau|oux|que|ado|ción|mente|os|er|en|an|re|at|on|or|es|ed|th|st|nd|ha|ea|ou|in|le|de|al"
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,})"
@@ -81,10 +85,16 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     rows = spark.range(0, n, 1, 4).withColumn("label", F.when(pick("label", 2) == 0, 1.0).otherwise(0.0))
     rows = rows.withColumn("c", one("c", F.lit('token = "'), F.lit("api_key: "), F.lit("password='"), F.lit("secret="), F.lit("Authorization: Bearer "), F.lit("the and "), F.lit("access_key = ")))
     is_secret = F.col("label") == 1.0
+    # Short values are only looked at after a cue, so both labels have one.
+    short = pick("short", 8) == 0
+    short_secret = F.concat(F.substring(base, 1, 5), F.substring(digest("m"), 1, 2), F.expr("substring(sha2(cast(id as string), 256), 1, cast(pmod(id, 8) as int))"))
+    short_word = F.expr("substring(w, 1, cast(2 + pmod(id, 13) as int))")
+    short_before = one("sb", F.lit("password: "), F.lit("token = "), F.lit("secret="), F.lit("pwd="), F.lit('api_key: "'))
+    rows = rows.withColumn("w", word)
     return rows.select(
         "id",
-        F.when(is_secret, secret).otherwise(innocent).alias("candidate"),
-        F.when(is_secret, secret_before).otherwise(innocent_before).alias("before"),
+        F.when(short, F.when(is_secret, short_secret).otherwise(short_word)).when(is_secret, secret).otherwise(innocent).alias("candidate"),
+        F.when(short, short_before).when(is_secret, secret_before).otherwise(innocent_before).alias("before"),
         F.when(is_secret & F.col("c").endswith('"'), F.lit('" and')).otherwise(F.lit(" and")).alias("after"),
         one("p", F.lit("src0"), F.lit("deploy/config.yaml"), F.lit("tests/fixtures/a.json"), F.lit("site.org"), F.lit("lib/main.py")).alias("path"),
         "label",
@@ -126,7 +136,7 @@ def probability(forest: list, columns: tuple[str, ...] = FEATURES) -> Column:
 def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
     """Every candidate of every text with its place, in characters, and what stands beside it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), text.alias("text")).where(F.rlike("text", F.lit("[A-Za-z0-9+/_-]{16}")))
+    rows = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), text.alias("text")).where(F.rlike("text", F.lit(MAYBE)))
     # Found tokens and the text between them alternate, so places are sums of lengths.
     cut = rows.select("id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between")).where(F.size("found") > 0)
     ends = F.aggregate(F.sequence(F.lit(0), F.size("found") - 1), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(F.get("between", i)) + F.length(F.get("found", i)))))
@@ -139,7 +149,8 @@ def scan(df: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "t
     """Id, place, digest of the candidate, probability and verdict of every candidate of every text.
 
     Null and empty texts have no candidates; a null path is one without kind; repeated rows give repeated findings; texts
-    of any length are scanned whole. A run of more than 512 token characters is a blob and no candidate.
+    of any length are scanned whole, and runs of any length are candidates from 16 characters on, or after a cue,
+    but for over 512 times one character.
     """
     found = candidates(df, id_col, text_col, path_col)
     made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
