@@ -157,6 +157,24 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert winnow.decontaminate(odd, none).columns == odd.columns and winnow.decontaminate(odd, none).count() == len(ODD)
 
 
+def test_planted_passages_are_rejected_in_documents_of_any_length(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(5)] + [(9, "tiny item")]
+    clean = [" ".join(word() for _ in range(2000)) for _ in range(20)]
+    rows = []
+    for i, t in enumerate(clean):
+        own = t.split()
+        at, item = rng.randrange(2000), items[i % 5][1].split()
+        rows.append((i, t))
+        rows.append((100 + i, " ".join(own[:at] + item[i : i + 13] + own[at:])))  # 13 of 2,013 words
+        rows.append((200 + i, " ".join(own[:at] + item[i : i + 12] + ["between"] + own[at:])))
+    rows += [(300, clean[0] + " Tiny Item"), (301, "a tiny item in a few words"), (302, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in winnow.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert left == {i for i, _ in rows if not 100 <= i < 200 and i != 301}
+
+
 def test_shards_fit(spark, odd):
     rows = [(1, "ab")] * 50 + [(2, "x" * 50), (3, None), (None, "q")] + [(i, "abcdefgh") for i in range(40)]
     out = sharding.shards(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=20).collect()

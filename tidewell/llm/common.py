@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``, or a folder of our own where it is unset.
 
-    The fallback serves single-machine sessions such as tests.
+    The fallback serves sessions of one machine, such as tests; on a cluster the setting has to be there.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -39,10 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewell-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Shuffle files of the actions inside go when each action ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -61,7 +76,8 @@ class Stash:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/stash-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with tidy_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         atexit.register(_delete, self.spark, path)

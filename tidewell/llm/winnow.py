@@ -168,10 +168,16 @@ def n_hit(spans: str):
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of which less than a twentieth of the words is shared with the benchmark, columns as they were."""
+    """Rows without benchmark text, columns as they were.
+
+    A row goes if ``WINDOW`` words in a row are shared, in a document of any length, or if a twentieth of its words is,
+    which is for items that are shorter than a window. Rows without words, and all rows if no item has words, stay.
+    """
     n_words, spans, items = common.fresh(df, "n_words", "hit_spans", "hit_items")
     found = find_shared(df, benchmark, names=(n_words, spans, items))
-    return found.where(~((n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(n_words)))).select(*[F.col(f"`{c}`") for c in df.columns])
+    passage = F.exists(spans, lambda s: s["end"] - s["first"] >= WINDOW)
+    much = (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(n_words))
+    return found.where(~(passage | much)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
