@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is shared with the benchmark."""
+    """Documents without a passage of the benchmark."""
     return winnow.decontaminate(docs, common.read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
