@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import hashing
 from tidewell.operators import counting, stateless, windows
 from tidewell.plans.plan import QueryPlan, Strategy
-from tidewell.session import Settings
+from tidewell.session import Settings, ready, shared_folder
 
 
 def jvm_hash(text: str) -> int:
@@ -80,6 +80,15 @@ def test_plan(spark):
     assert plan.build(spark.range(10))["all_1"].first()[0] == 10
 
 
-def test_settings(tmp_path):
-    (tmp_path / "c.json").write_text('{"shuffle_partitions": 7, "unknown": 1}')
-    assert Settings.load(tmp_path / "c.json").shuffle_partitions == 7
+def test_key_by_deals_rows_of_a_key_to_one_partition(spark):
+    rows = stateless.key_by(spark.range(100).selectExpr("id", "id % 7 as k"), "k", parts=5).select("k", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(rows) == 7 and {r.k for r in rows} == set(range(7))
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"shuffle_partitions": 7, "unknown": 1, "watermark_policy": "max"}')
+    settings = Settings.load(tmp_path / "c.json")
+    assert settings.shuffle_partitions == 7
+    assert ready(spark, settings).conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "max"
+    assert ready(spark).conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+    assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -1,12 +1,16 @@
 """Streams: continuity over a restart, late rows, sinks, paced and event sources."""
 
 import threading
+import time
+from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import serde
 from tidewell.operators import windows
+from tidewell.session import Settings, ready
 from tidewell.sources import lines
 from tidewell.streaming import processors, sinks
 from tidewell.streaming.state import inspect
@@ -78,27 +82,163 @@ def test_paced_lines(spark, tmp_path):
     assert [r.value for r in spark.read.parquet(str(tmp_path / "out")).orderBy("line").collect()] == ["x", "y", "z"]
 
 
-def test_server_sent_events():
-    class Answer(BaseHTTPRequestHandler):
-        def do_GET(self):
-            self.send_response(200)
-            self.end_headers()
-            self.wfile.write(b'event: m\ndata: {"a": 1}\n\n: note\ndata: x\ndata: y\n\n')
+class Events(BaseHTTPRequestHandler):
+    """Numbered events: those after the id asked for."""
 
-        def log_message(self, *a):
-            pass
+    known: list[str] = []
 
-    server = HTTPServer(("127.0.0.1", 0), Answer)
+    def do_GET(self):
+        after = int(self.headers.get("Last-Event-ID") or 0)
+        self.send_response(200)
+        self.end_headers()
+        for i, text in enumerate(self.known[after:], after + 1):
+            data = "".join(f"data: {line}\n" for line in text.split("\n"))
+            self.wfile.write(f": note\nevent: m\nid: {i}\n{data}\n".encode())
+
+    def do_PUT(self):
+        self.known.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+        self.send_response(200)
+        self.end_headers()
+
+    def log_message(self, *a):
+        pass
+
+
+@pytest.fixture
+def server():
+    handler = type("Own", (Events,), {"known": []})
+    server = HTTPServer(("127.0.0.1", 0), handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    assert list(lines.sse_events(f"http://127.0.0.1:{server.server_port}/", 5)) == ['{"a": 1}', "x\ny"]
+    yield f"http://127.0.0.1:{server.server_port}/", handler.known
     server.shutdown()
 
 
+def test_server_sent_events(server):
+    url, known = server
+    known += ['{"a": 1}', "x\ny"]
+    assert list(lines.sse_events(url, 5)) == [("1", '{"a": 1}'), ("2", "x\ny")]
+    assert list(lines.sse_events(url, 5, "1")) == [("2", "x\ny")]
+
+
+def test_server_sent_events_through_a_query_and_a_restart(spark, tmp_path, server):
+    url, known = server
+    lines.register(spark)
+    for more in (["a", "b"], ["c\nd"]):
+        known += more
+        source = spark.readStream.format("server_sent_events").option("url", url).option("seconds", "2").option("log", f"{tmp_path}/log").load()
+        query = source.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").start()
+        query.processAllAvailable()
+        query.stop()
+    assert [(r.event, r.value) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("event").collect()] == [(0, "a"), (1, "b"), (2, "c\nd")]
+
+
+def test_events_of_a_planned_batch_are_there_after_a_crash(tmp_path, server):
+    url, known = server
+    known += ["a", "b"]
+    reader = lines._SseReader(url, 2, str(tmp_path / "log"))
+    _, end = reader.read(reader.initialOffset())
+    known.append("c")
+    again = lines._SseReader(url, 2, str(tmp_path / "log"))
+    assert list(again.readBetweenOffsets(reader.initialOffset(), end)) == [(0, "a"), (1, "b")]
+    rows, last = again.read(end)
+    assert list(rows) == [(2, "c")] and last == {"event": 3, "last": "3"} and again.read(last)[1] == last
+    again.commit(end)
+    assert [p.name for p in (tmp_path / "log").iterdir()] == ["2-3.json"]
+
+
+def test_lines_of_files_are_stamped_parsed_and_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"id": 5, "server_name": "a"}\n{bad\n')
+    (tmp_path / "in" / "b.txt").write_text('{"id": 8, "server_name": "b"}\n')
+    batch = lines.read_lines(spark, str(tmp_path / "in" / "a.txt"), str(tmp_path / "in" / "b.txt"))
+    assert batch.count() == 3
+    counted = lines.count_lines(batch.withColumn("id", F.get_json_object("value", "$.id")), "id")
+    assert sorted((r.file[-5:], r.events, r.errors) for r in counted.collect()) == [("a.txt", 1, 1), ("b.txt", 1, 0)]
+    stream = lines.stream_lines(spark, str(tmp_path / "in"), Settings(max_files_per_trigger=1, watermark_grace_seconds=5))
+    query = sinks.to_files(stream, str(tmp_path / "data"), str(tmp_path / "ckpt"), name="lines")
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "data")).count() == 3 and spark.read.parquet(str(tmp_path / "data")).where("ingest_ts is null").isEmpty()
+    assert len(query.recentProgress) >= 2 and not sinks.status(query)["active"]
+    assert sinks.status(query)["watermark"] > "2020"
+
+
+def test_the_hook_is_called_when_the_watermark_passes(spark, tmp_path):
+    schema, source = "k string, t long, v double", str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(source)
+    stream = processors.with_grace(spark.readStream.schema(schema).parquet(source).withColumn("at", F.timestamp_millis("t")), "at", "1 second")
+    out = processors.at_watermark(stream, ["k"], "t", 10_000, lambda total, r: total + r.v, lambda key, end, total: 100 * total)
+    for rows in ([("a", 1_000, 1.0), ("a", 9_999, 2.0), ("b", 3_000, 5.0), ("a", 10_000, 7.0)], [("a", 30_000, 1.0)], [("a", 2_000, 9.0), ("a", 60_000, 1.0)], [("b", 61_000, 1.0)]):
+        write(spark, source, rows, schema)
+        run(out, tmp_path)
+    got = {(r.k, r.window_end_ms, r.emitted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 10_000, 300.0), ("b", 10_000, 500.0), ("a", 20_000, 700.0), ("a", 40_000, 100.0)}
+
+
+@pytest.mark.parametrize(("policy", "late"), [("min", 2), ("max", 1)])
+def test_watermark_of_two_inputs(spark, tmp_path, policy, late):
+    schema, folders = "t timestamp, k string", [str(tmp_path / "x"), str(tmp_path / "y")]
+    ready(spark, Settings(watermark_policy=policy))
+    try:
+        for f in folders:
+            spark.createDataFrame([], schema).write.parquet(f)
+        ends = [processors.with_grace(spark.readStream.schema(schema).parquet(f), "t", "1 second") for f in folders]
+        out = windows.time_windows(ends[0].union(ends[1]), "t", "10 seconds", None, ["k"], F.count("*").alias("n"))
+        at = lambda s: [(datetime(2024, 1, 1, 0, s // 60, s % 60), "a")]
+        for x, y in ((60, 1), (None, 2), (300, 300), (301, 301)):
+            for s, f in ((x, folders[0]), (y, folders[1])):
+                if s is not None:
+                    write(spark, f, at(s), schema)
+            run(out, tmp_path)
+        counts = {r.window_start.minute * 60 + r.window_start.second: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert counts[0] == late and counts[60] == 1
+    finally:
+        ready(spark)
+
+
+def test_counts_go_on_with_other_resources(spark, tmp_path):
+    schema, source = "k string, i long", str(tmp_path / "in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, part in (("2", [(f"k{i % 9}", i) for i in range(40)]), ("7", [(f"k{i % 9}", i) for i in range(40, 90)])):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            write(spark, source, part, schema)
+            run(processors.running_count(spark.readStream.schema(schema).parquet(source), ["k"], ["i"]), tmp_path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r.i: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: i // 9 + 1 for i in range(90)}
+
+
+def test_progress_is_pushed_to_the_gateway(spark, tmp_path, server):
+    url, known = server
+    assert sinks.watch(spark, Settings()) is None
+    write(spark, str(tmp_path / "in"), [(1,), (2,)], "i long")
+    listener = sinks.watch(spark, Settings(push_gateway=url))
+    try:
+        sinks.to_files(spark.readStream.schema("i long").parquet(str(tmp_path / "in")), str(tmp_path / "data"), str(tmp_path / "ckpt"), name="pushed").awaitTermination()
+        for _ in range(100):
+            if any("batch_rows" in x for x in known):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert any('batch_rows{query="pushed"} 2' in x and 'batch_duration_ms{query="pushed"}' in x for x in known)
+
+
+def test_a_query_with_a_trigger_goes_on_until_stopped(spark, tmp_path):
+    write(spark, str(tmp_path / "in"), [(1,)], "i long")
+    query = sinks.to_files(spark.readStream.schema("i long").parquet(str(tmp_path / "in")), str(tmp_path / "data"), str(tmp_path / "ckpt"), once=False, settings=Settings(trigger_seconds=0.2))
+    query.processAllAvailable()
+    assert sinks.status(query)["active"]
+    write(spark, str(tmp_path / "in"), [(2,)], "i long")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "data")).count() == 2
+
+
 def test_json_modes(spark):
     df = spark.createDataFrame([('{"id": 5, "server_name": "a", "more": 1}',), ('{"server_name": "b"}',), ('{"id": null}',), ("{bad",), ("",)], "value string")
     assert [(r.id, r.server_name) for r in serde.wiki_info(df).collect()] == [(5, "a"), (0, "b"), (0, None)]
-    import pytest
-
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         serde.wiki_info(df, strict=True).collect()
 

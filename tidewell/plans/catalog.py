@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import hashing, serde
 from tidewell.operators import counting, stateless, windows
 from tidewell.plans.plan import QueryPlan, Strategy
-from tidewell.session import ready
+from tidewell.session import ready, shared_folder
 from tidewell.sources import lines
 from tidewell.streaming import processors, sinks
 
@@ -37,7 +36,7 @@ def kept_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def server_count_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filter, deal by key, count and format: the whole pipeline, as a plan of stages."""
+    """Filter, count by key and format: the whole pipeline, as a plan of stages."""
     plan = QueryPlan()
     plan.add_stage(0, lambda df: df.select("event_id", "ts", "event_type"), name="source")
     plan.add_stage(1, lambda df: stateless.not_every_fourth(df, "event_id"), name="filter")
@@ -148,7 +147,7 @@ def window_membership(spark, sf_dir):
 
 
 def anchored_windows(spark, sf_dir):
-    """The anchored window replayed by user: rows by key and state are not in SQL's reach."""
+    """The anchored window replayed by user."""
     rows = events(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return windows.anchored_windows(rows, ["user_id"], "us", 3_600_000_000 * 24, 3_600_000_000 * 6, ["us", "event_id"])
 
@@ -171,9 +170,7 @@ def latency_timeline(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder of the shared checkpoint directory, or of a temporary one in a session that names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewell-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
@@ -272,6 +269,13 @@ ORACLES: dict[str, str] = {
     "time_sliding": "SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS * k FOR k IN range(4)]) AS s FROM events) GROUP BY ALL",
     "time_tumbling": _TUMBLING,
     "window_membership": "SELECT event_id, ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-03' AS inside FROM events",
+    "anchored_windows": """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_id, user_id, us, k, us AS window_start, true AS inside FROM r WHERE k = 1
+UNION ALL SELECT r.event_id, r.user_id, r.us, r.k, w.window_start + CASE WHEN r.us BETWEEN w.window_start AND w.window_start + 86400000000 THEN 0 ELSE 21600000000 END,
+  r.us BETWEEN w.window_start AND w.window_start + 86400000000 FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1)
+SELECT event_id, user_id, us, window_start, window_start + 86400000000 AS window_end, inside FROM w""",
+    "generated_servers": """SELECT server_name, count(*) AS n FROM (SELECT ('0x' || substr(md5(i || ':1:id'), 1, 15))::BIGINT % 100 + 1 AS id,
+'server-' || (('0x' || substr(md5(i || ':1:server'), 1, 15))::BIGINT % 100000 + 1) AS server_name FROM range(10000) AS t(i)) WHERE id % 4 <> 0 GROUP BY server_name""",
     "latency_summary": "SELECT event_type AS run, count(*) AS n, round(avg(value), 4) AS mean_ms, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, quantile_disc(value, 0.99) AS p99_ms, min(value) AS min_ms, max(value) AS max_ms, round((count(*) - 1) / ((max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000))) / 1000.0), 4) AS rows_per_s FROM events GROUP BY event_type",
     "latency_timeline": "SELECT event_id, t - f AS elapsed_ms, run = 'click' AND t >= 1704240000000 AS after_mark FROM (SELECT event_id, event_type AS run, value, (epoch_us(ts) // 1000) AS t, min((epoch_us(ts) // 1000)) OVER (PARTITION BY event_type) AS f FROM events) WHERE t - f < 604800000 AND value < 400",
     "stream_filter": "SELECT event_id, event_type FROM events WHERE event_id % 4 <> 0",

@@ -13,7 +13,10 @@ Operator = Callable[[DataFrame], DataFrame]
 
 
 class Strategy(Enum):
-    """How rows reach an operator: as they are, by key, in turn, or all of them."""
+    """How rows reach an operator: as they are, by key, in turn, or all of them.
+
+    Every operator below reads all rows of those above, each from a branch of its own, so BROADCAST deals nothing anew.
+    """
 
     FORWARD = "forward"
     HASH = "hash"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.request
 from collections.abc import Iterator
@@ -11,18 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from tidewell.session import Settings
+
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines of one or several files, with the file each is from."""
     return spark.read.text(list(paths)).select("value", F.input_file_name().alias("file"))
 
 
-def stream_lines(spark: SparkSession, directory: str, files_per_trigger: int = 100) -> DataFrame:
-    """Lines of files as they come, stamped with the time they were read."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(directory).withColumn("ingest_ts", F.current_timestamp())
+def stamped(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Rows of a stream with the time they were read, which is also what the watermark goes by, less the grace."""
+    return df.withColumn("ingest_ts", F.current_timestamp()).withWatermark("ingest_ts", f"{settings.watermark_grace_seconds} seconds")
+
+
+def stream_lines(spark: SparkSession, directory: str, settings: Settings = Settings()) -> DataFrame:
+    """Lines of files as they come, stamped."""
+    return stamped(spark.readStream.option("maxFilesPerTrigger", settings.max_files_per_trigger).text(directory), settings)
+
 
+def count_lines(df: DataFrame, parsed: str, file: str = "file") -> DataFrame:
+    """Lines of each file that were parsed to something, and errors."""
+    return df.groupBy(file).agg(F.count(parsed).alias("events"), F.count(F.when(F.col(parsed).isNull(), 1)).alias("errors"))
 
-def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+
+def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int = Settings.max_files_per_trigger) -> DataFrame:
     """A table of Parquet files, or a single one, as a stream of bounded micro-batches."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -67,46 +80,71 @@ class PacedLines(DataSource):
         return _PacedReader(self.options["path"], float(self.options.get("period_ms", "0")))
 
 
-def sse_events(url: str, seconds: float) -> Iterator[str]:
-    """Data of server-sent events until the stream ends or the time is over."""
-    end, data = time.time() + seconds, []
-    with urllib.request.urlopen(url, timeout=seconds) as answer:
+def sse_events(url: str, seconds: float, after: str | None = None) -> Iterator[tuple[str | None, str]]:
+    """Id and data of server-sent events, those after an id, until the stream ends or the time is over."""
+    end, data, last = time.time() + seconds, [], after
+    request = urllib.request.Request(url, headers={"Last-Event-ID": after} if after else {})
+    with urllib.request.urlopen(request, timeout=seconds) as answer:
         for raw in answer:
             line = raw.decode("utf-8").rstrip("\r\n")
             if line.startswith("data:"):
                 data.append(line[5:].removeprefix(" "))
+            elif line.startswith("id:"):
+                last = line[3:].strip()
             elif not line and data:
-                yield "\n".join(data)
+                yield last, "\n".join(data)
                 data = []
             if time.time() > end:
                 return
     if data:
-        yield "\n".join(data)
+        yield last, "\n".join(data)
 
 
 class _SseReader(SimpleDataSourceStreamReader):
-    def __init__(self, url: str, seconds: float):
-        self.url, self.seconds, self.held = url, seconds, {}
+    """Events are written to a log before their offsets are known to Spark, and stay until a batch is committed.
+
+    So a batch that was planned is read again after a restart as it was, and the next one asks for what came after it.
+    """
+
+    def __init__(self, url: str, seconds: float, log: str):
+        self.url, self.seconds, self.log = url, seconds, log
+        os.makedirs(log, exist_ok=True)
 
     def initialOffset(self) -> dict:
-        return {"event": 0}
+        return {"event": 0, "last": None}
+
+    def _file(self, start: int, end: int) -> str:
+        return os.path.join(self.log, f"{start}-{end}.json")
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        n = start["event"]
-        for text in sse_events(self.url, self.seconds):
-            self.held[n] = text
-            n += 1
-        return iter([(i, self.held[i]) for i in range(start["event"], n)]), {"event": n}
+        got = list(sse_events(self.url, self.seconds, start["last"]))
+        if not got:
+            return iter([]), start
+        first, end = start["event"], start["event"] + len(got)
+        part = self._file(first, end) + ".part"
+        with open(part, "w", encoding="utf-8") as f:
+            json.dump([text for _, text in got], f)
+        os.replace(part, self._file(first, end))
+        return iter([(first + i, text) for i, (_, text) in enumerate(got)]), {"event": end, "last": got[-1][0]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(i, self.held[i]) for i in range(start["event"], end["event"]) if i in self.held])
+        rows = {}
+        for name in os.listdir(self.log):
+            if name.endswith(".json"):
+                first, last = map(int, name.removesuffix(".json").split("-"))
+                if first < end["event"] and last > start["event"]:
+                    with open(os.path.join(self.log, name), encoding="utf-8") as f:
+                        rows |= {first + i: text for i, text in enumerate(json.load(f))}
+        return iter([(i, rows[i]) for i in range(start["event"], end["event"])])
 
     def commit(self, end: dict) -> None:
-        self.held = {i: x for i, x in self.held.items() if i >= end["event"]}
+        for name in os.listdir(self.log):
+            if name.endswith(".json") and int(name.removesuffix(".json").split("-")[1]) <= end["event"]:
+                os.remove(os.path.join(self.log, name))
 
 
 class ServerSentEvents(DataSource):
-    """Events of an HTTP stream (options ``url`` and ``seconds`` for each micro-batch)."""
+    """Events of an HTTP stream (options ``url``, ``seconds`` for each micro-batch, and ``log``, a folder the driver can write to)."""
 
     @classmethod
     def name(cls) -> str:
@@ -116,7 +154,7 @@ class ServerSentEvents(DataSource):
         return "event bigint, value string"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _SseReader(self.options["url"], float(self.options.get("seconds", "1")))
+        return _SseReader(self.options["url"], float(self.options.get("seconds", "1")), self.options["log"])
 
 
 def register(spark: SparkSession) -> None:
@@ -126,7 +164,8 @@ def register(spark: SparkSession) -> None:
 
 def generated_work(spark: SparkSession, n: int = 10_000, ids: int = 100, servers: int = 100_000, seed: int = 1) -> DataFrame:
     """``n`` JSON lines with a uniform id and server name, the same for equal seeds."""
-    draw = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k)) + 1
+    digest = lambda salt: F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(salt)))
+    draw = lambda salt, k: F.conv(F.substring(digest(salt), 1, 15), 16, 10).cast("long") % k + 1
     return spark.range(n).select(F.to_json(F.struct(draw("id", ids).alias("id"), F.concat(F.lit("server-"), draw("server", servers).cast("string")).alias("server_name"))).alias("value"))
 
 

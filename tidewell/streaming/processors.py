@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewell.streaming.state import DequeAccessor, ValueAccessor
+from tidewell.streaming.state import DequeAccessor, MapAccessor, ValueAccessor
 
 
 class Ordered(StatefulProcessor):
-    """Rows of a key come in any order within a micro-batch: they are sorted first."""
+    """Rows of a key come in any order within a micro-batch: they are sorted first.
+
+    What a source gives to one micro-batch bounds what is sorted; order over several is the order of the source.
+    """
 
     def __init__(self, keys: tuple[str, ...], order: tuple[str, ...]):
         self.keys, self.order = keys, order
@@ -95,6 +98,40 @@ class TriggeredWindow(Ordered):
         self.kept.update(kept)
 
 
+class AtWatermark(StatefulProcessor):
+    """Something is added up for each window of ``size_ms``, and the hook is called when the watermark passes its end.
+
+    ``add(total, row)`` gives the new total, which begins with 0; ``expire(key, end_ms, total)`` the number to emit. Rows of
+    windows that are over are dropped.
+    """
+
+    def __init__(self, keys: tuple[str, ...], time: str, size_ms: int, add: Callable[[float, Row], float], expire: Callable[[Any, int, float], float]):
+        self.keys, self.time, self.size, self.add, self.expire = keys, time, size_ms, add, expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.totals = handle, MapAccessor(handle, "totals", "double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for row in rows:
+            end = (row[self.time] // self.size + 1) * self.size
+            if end <= passed:
+                continue
+            if not self.totals.contains(str(end)):
+                self.handle.registerTimer(end)
+            self.totals.put(str(end), float(self.add(self.totals.get(str(end), 0.0), row)))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        total = self.totals.get(str(end), 0.0)
+        self.totals.remove(str(end))
+        yield Row(**dict(zip(self.keys, key, strict=True)), window_end_ms=int(end), emitted=float(self.expire(key, end, total)))
+
+    def close(self) -> None:
+        pass
+
+
 def schema_of(df: DataFrame, columns: list[str], last: str) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns) + f", {last}"
 
@@ -112,6 +149,11 @@ def triggered_window(df: DataFrame, keys: list[str], order: list[str], time: str
     return df.groupBy(*keys).transformWithState(TriggeredWindow(tuple(keys), tuple(order), time, size, slide, trigger, emit), schema_of(df, [*keys, *order], "emitted double"), "Append", "None")
 
 
+def at_watermark(df: DataFrame, keys: list[str], time_ms: str, size_ms: int, add: Callable[[float, Row], float], expire: Callable[[Any, int, float], float]) -> DataFrame:
+    """What ``expire`` gives for every key and window once the watermark of ``df`` is past the window."""
+    return df.groupBy(*keys).transformWithState(AtWatermark(tuple(keys), time_ms, size_ms, add, expire), schema_of(df, keys, "window_end_ms bigint, emitted double"), "Append", "EventTime")
+
+
 def with_grace(df: DataFrame, time: str, grace: str | None = "2 seconds") -> DataFrame:
     """Event time with a watermark; rows later than ``grace`` are dropped by aggregations. None keeps all."""
     stamped = df.withColumn(time, F.col(time).cast("timestamp"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import urllib.request
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidewell.session import Settings
+
 
 def latency(df: DataFrame, ingest: str = "ingest_ts") -> DataFrame:
     """Time of output and milliseconds since ingest, by row."""
@@ -16,18 +18,25 @@ def latency(df: DataFrame, ingest: str = "ingest_ts") -> DataFrame:
     return df.select(F.unix_millis(now).alias("ts_ms"), ((F.unix_micros(now) - F.unix_micros(ingest)) / 1000.0).alias("latency_ms"))
 
 
-def to_files(df: DataFrame, path: str, checkpoint: str, latency_path: str | None = None, ingest: str = "ingest_ts", mode: str = "append", once: bool = True) -> StreamingQuery:
-    """Write a stream's rows, and its latency log if asked, batch by batch. A batch that is run again replaces its files."""
+def to_files(df: DataFrame, path: str, checkpoint: str, latency_path: str | None = None, ingest: str = "ingest_ts", mode: str = "append", once: bool = True, settings: Settings = Settings(), name: str | None = None) -> StreamingQuery:
+    """Write a stream's rows, and its latency log if asked, batch by batch. A batch that is run again replaces its files.
+
+    The query ends with what is there (``once``), or goes on with a batch every ``trigger_seconds``.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         if latency_path:
-            batch.persist()
-            latency(batch, ingest).write.mode("overwrite").parquet(f"{latency_path}/batch={number}")
-            batch = batch.drop(ingest)
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            held = batch.persist()
+            latency(held, ingest).write.mode("overwrite").parquet(f"{latency_path}/batch={number}")
+            held.drop(ingest).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            held.unpersist()
+        else:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    if name:
+        writer = writer.queryName(name)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{settings.trigger_seconds} seconds")).start()
 
 
 def summary(log: DataFrame) -> DataFrame:
@@ -86,6 +95,26 @@ class Progress(StreamingQueryListener):
         pass
 
 
+def watch(spark: SparkSession, settings: Settings, job: str = "tidewell") -> Progress | None:
+    """Push the rows and the duration of each batch of every query to the gateway, if the settings name one.
+
+    A gateway that does not answer stops nothing.
+    """
+    if not settings.push_gateway:
+        return None
+
+    def tell(p: dict) -> None:
+        name = p["name"] or "query"
+        try:
+            push(settings.push_gateway, job, gauge("batch_rows", p["rows"], query=name) + gauge("batch_duration_ms", p["duration_ms"], query=name))
+        except OSError:
+            pass
+
+    listener = Progress(tell)
+    spark.streams.addListener(listener)
+    return listener
+
+
 def status(query: StreamingQuery) -> dict:
     last = query.lastProgress or {}
     return {"active": query.isActive, "rows": last.get("numInputRows"), "watermark": dict(last.get("eventTime") or {}).get("watermark"), **query.status}
