@@ -1,13 +1,13 @@
 """Sharding by extendible hashing.
 
-Each row has a hash of 120 bits; a bucket is a prefix of these. All rows start in the bucket of no bits. A bucket over
+Each row has a hash of 60 bits; a bucket is a prefix of these. All rows start in the bucket of no bits. A bucket over
 the byte limit splits on its next bit, and only such buckets do, until every one fits. The directory, indexed by the
 bits of the global depth, has an entry for each slot; several slots share a bucket of smaller local depth.
 
 Bytes are summed once per slot of a directory fine enough for most buckets; the tree above it follows from those sums.
 Slots that are still too large, because a few rows are very long, get more bits in further rounds, which touch the
-rows of these slots alone. Rows equal in id and text share a hash, which no bit can split: they are dealt to pages of
-their bucket that hold as many rows as fit. A row longer than the limit is a shard of its own with ``fits`` false.
+rows of these slots alone. Rows equal in id and text share a hash, which no bit can split: they are dealt to numbered
+pages of their bucket that hold as many rows as fit. A row longer than the limit is a shard of its own, ``fits`` false.
 
 All of it is DataFrame operations. What is joined to the rows is the list of slots.
 """
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tidewell.llm import common
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 #: Bits beyond the number of shards that a perfect deal would need.
 SLACK_BITS = 4
 STEP_BITS = 16
@@ -77,18 +77,19 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
 
 def pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Deal rows that share all bits of their hash to pages.
+    """Deal rows that share all bits of their hash to pages, each of as many rows as fit.
 
-    Such rows have the same length, so a page takes ``limit div n_bytes`` of them. They are numbered within each input
-    partition, so that a third of all rows being equal does not bring them to one task.
+    Rows are numbered within each input partition, and the numbers of the partitions before are added, so that a third of
+    all rows being equal does not bring them to one task. As such rows are alike, pages do not follow the layout of files.
     """
-    per_page = F.greatest(F.lit(1), F.expr(f"{limit} div n_bytes"))
-    numbered = rows.withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("bucket", "part").orderBy("n_bytes")
-    numbered = numbered.withColumn("no", F.expr("cast(row_number() over (partition by bucket, part order by n_bytes) - 1 as bigint)"))
-    paged = numbered.withColumn("page", F.concat_ws("-", F.col("part").cast("string"), (F.col("no") - F.col("no") % per_page).cast("string")))
-    size = F.least(per_page, F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - (F.col("no") - F.col("no") % per_page)) * F.col("n_bytes")
-    return paged.withColumn("shard_bytes", size).select("id", "n_bytes", "h", "bucket", "bucket_bytes", "page", "shard_bytes")
+    numbered = common.Stash(rows.sparkSession)(rows.withColumn("part", F.spark_partition_id()).withColumn("no", F.row_number().over(w).cast("long") - 1))
+    counts = numbered.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.max("n_bytes").alias("most"))
+    bucket = Window.partitionBy("bucket")
+    before = F.coalesce(F.sum("n").over(bucket.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("bucket", "part", before.alias("before"), F.max("most").over(bucket).alias("most")).withColumn("per_page", F.greatest(F.lit(1), F.expr(f"{limit} div most")))
+    paged = numbered.join(placed, ["bucket", "part"]).withColumn("page", F.expr("(before + no) div per_page").cast("string"))
+    return paged.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("bucket", "page"))).select("id", "n_bytes", "h", "bucket", "bucket_bytes", "page", "shard_bytes")
 
 
 def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +97,17 @@ def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-OP2_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+def sql(limit: int) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
   right(to_binary(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT + 1152921504606846976), 60) AS h FROM documents),
-s AS (SELECT DISTINCT b AS bits FROM (SELECT unnest(range(0, 61)) AS b)),
-p AS (SELECT substr(h, 1, bits) AS prefix, bits, sum(n_bytes) AS size FROM d, s GROUP BY ALL),
-m AS (SELECT d.*, prefix, size, row_number() OVER (PARTITION BY doc_id, d.h ORDER BY p.bits) AS k FROM d, p WHERE p.prefix = substr(d.h, 1, p.bits) AND size <= {SHARD_BYTES})
-SELECT doc_id, n_bytes, prefix, CAST(length(prefix) AS INTEGER) AS depth, '0' AS page, CAST(size AS BIGINT) AS shard_bytes, true AS fits FROM m WHERE k = 1
+e AS (SELECT r, n_bytes, CAST(bits AS INTEGER) AS bits, substr(h, 1, bits) AS prefix FROM d, range(61) AS s(bits)),
+p AS (SELECT prefix, sum(n_bytes) AS size FROM e GROUP BY prefix),
+m AS (SELECT r, min(bits) AS depth FROM e JOIN p USING (prefix) WHERE size <= {limit} GROUP BY r),
+q AS (SELECT r, (row_number() OVER (PARTITION BY h) - 1) // greatest(1, {limit} // max(n_bytes) OVER (PARTITION BY h)) AS page FROM d WHERE r NOT IN (SELECT r FROM m)),
+a AS (SELECT doc_id, n_bytes, substr(h, 1, coalesce(depth, 60)) AS prefix, coalesce(depth, 60) AS depth, CAST(coalesce(page, 0) AS VARCHAR) AS page FROM d LEFT JOIN m USING (r) LEFT JOIN q USING (r))
+SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY prefix, page) AS BIGINT) AS shard_bytes, sum(n_bytes) OVER (PARTITION BY prefix, page) <= {limit} AS fits FROM a
 """
+
+
+OP2_SQL = sql(SHARD_BYTES)
