@@ -6,12 +6,17 @@ beta prior for hosts, moments of the paths' means around their hosts one for pat
 shrunk towards the global mean, a path's posterior its sums shrunk towards its host, so a site of few documents says
 little more than the level above. A document's verdict adds to its own evidence what its path says beyond the whole.
 
-The tables give documents a host (``source``) and no URL; the section of a host, its language, stands for the path.
+Toxicity is judged from words, which shape says nothing of: a second logistic model has the words, and beginnings of words,
+that toxic documents have far more often than others. A document is kept if it is good enough and not toxic.
+
+The tables give documents a host (``source``) and no URL (``pages`` has URLs, but nothing that ties a page to a document);
+the section of a host, its language, stands for the path.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,15 @@ from tidewell.llm import common, vector
 TRAINING_ROWS = 20_000
 SITE_WEIGHT = 0.5
 KEEP = 0.5
+#: Words and their first so many bytes are counted in buckets. One needs so many toxic documents, this share of them, as
+#: words of a few copied texts are in none other either, and odds beyond what chance explains.
+WORD_BITS = 20
+STEMS = (2, 3, 4, 5, 6, 8)
+LEAST_TOXIC = 5
+LEAST_SHARE = 0.01
+LEAST_LOG_ODDS = 1.0
+#: The model has this many buckets at most, those with the highest odds.
+LEXICON = 400
 
 WORD = vector.byte_table(lambda b: b not in (9, 10, 11, 12, 13, 32))
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&|<>{}[]\\^~=_@+", "stop": b".", "comma": b",", "bang": b"!?", "letter": b"abcdefghijklmnopqrstuvwxyz"}
@@ -72,27 +86,32 @@ def document_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def expanded(x: np.ndarray) -> np.ndarray:
-    """Features, their square roots, and products with the length, so that a linear model can bend."""
+    """Features, their square roots and squares, so that a linear model can bend."""
     return np.concatenate([x, np.sqrt(np.abs(x)), x * x], axis=1)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Intercept and weights by Newton steps."""
+    z = np.c_[np.ones(len(x)), x]
+    w = np.zeros(z.shape[1])
+    penalty = np.full(len(w), ridge)
+    penalty[0] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 class Model:
-    """Logistic regression by Newton steps on standardised features."""
+    """Logistic regression on standardised features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25):
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         x = expanded(x)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        z = np.c_[np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)]
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), ridge)
-        penalty[0] = 1e-6
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        self.w = w
+        self.w = logistic(np.clip((x - self.mean) / self.scale, -8, 8), y)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Log-odds, within what a finite sample can tell."""
@@ -100,27 +119,78 @@ class Model:
         return np.clip(z @ self.w, -9, 9)
 
 
-def with_features(df: DataFrame, text_col: str, into: str, model: Model | None = None) -> DataFrame:
-    """Replace the text by its features, or by the model's log-odds."""
+TERM = vector.byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
+
+
+def word_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each different word of a row, and the buckets of the word and its stems; a short word stands for these.
+
+    A-Z count as a-z, and anything but letters, digits and bytes over 127 parts words.
+    """
+    starts, ends, rows, hashes = vector.words(data, offs, TERM)
+    _, one = np.unique(np.stack([rows.astype(np.uint64), hashes]), axis=1, return_index=True) if len(rows) else (None, rows)
+    starts, ends, rows, hashes = starts[one], ends[one], rows[one], hashes[one]
+    roll = vector.Rolling(vector.LOWER_VALUES[data])
+    of = [hashes, *(vector.mix(roll(starts, np.minimum(starts + k, ends)) + vector.U(k)) if len(rows) else hashes for k in STEMS)]
+    for k, stem in zip(STEMS, of[1:], strict=True):
+        stem[ends - starts <= k] = hashes[ends - starts <= k]
+    return rows, (np.stack(of) >> vector.U(64 - WORD_BITS)).astype(np.int64)
+
+
+class Toxicity:
+    """Log-odds of toxicity: an intercept, and what each bucket adds whose words a document has."""
+
+    def __init__(self, intercept: float = -9.0, added: dict[int, float] | None = None):
+        self.intercept = intercept
+        self.known = np.array(sorted(added or {}), np.int64)
+        self.added = np.array([added[k] for k in self.known.tolist()]) if added else np.zeros(0)
+
+    def found(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number in ``known`` of the buckets that rows have, each once."""
+        rows, buckets = word_buckets(data, offs)
+        if not len(self.known) or not len(rows):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, buckets), len(self.known) - 1)
+        _, of = hit = np.nonzero(self.known[at] == buckets)
+        pairs = np.unique(rows[of] * len(self.known) + at[hit])
+        return pairs // len(self.known), pairs % len(self.known)
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        rows, k = self.found(data, offs)
+        return np.clip(self.intercept + np.bincount(rows, self.added[k], minlength=len(offs) - 1), -9, 9)
+
+
+def per_text(df: DataFrame, text_col: str, names: list[str], kinds: list[T.DataType], make_one: Callable) -> DataFrame:
+    """Replace the text by columns that ``make_one()`` computes from bytes and offsets."""
     at = df.columns.index(text_col)
     kept = [f for f in df.schema.fields if f.name != text_col]
-    kind = T.ArrayType(T.DoubleType()) if model is None else T.DoubleType()
 
     def make():
+        compute = make_one()
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, offs = vector.buffers(batch.column(at))
-            rows = np.concatenate([document_features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in vector.pieces(offs)])
-            out = pa.array(list(rows), pa.list_(pa.float64())) if model is None else pa.array(model(rows), pa.float64())
-            return pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], out], names=[*[f.name for f in kept], into])
+            parts = [compute(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in vector.pieces(offs)]
+            columns = [pa.array(list(np.concatenate(p))) for p in zip(*parts, strict=True)]
+            return pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], *columns], names=[*[f.name for f in kept], *names])
 
         return run
 
-    return common.arrow_map(df, make, T.StructType([*kept, T.StructField(into, kind)]))
+    return common.arrow_map(df, make, T.StructType([*kept, *map(T.StructField, names, kinds)]))
+
+
+def with_features(df: DataFrame, text_col: str, into: str) -> DataFrame:
+    return per_text(df, text_col, [into], [T.ArrayType(T.DoubleType())], lambda: lambda data, offs: (document_features(data, offs),))
+
+
+def labelled(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled ids, those of least hashes; null labels and ids are left out."""
+    return labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Model:
-    """Fit on a sample bounded by ``rows``; null labels and ids are left out. Without both labels all evidence is 0."""
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    """Fit on a sample bounded by ``rows``. Without both labels all evidence is 0."""
+    chosen = labelled(labels, id_col, label_col, rows)
     got = with_features(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col, "x").select("y", "x").toPandas()
     if got["y"].nunique() < 2:
         model = Model(np.zeros((2, len(FEATURES))), np.array([0.0, 1.0]))
@@ -129,6 +199,56 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(np.stack(got["x"].to_numpy()), got["y"].to_numpy())
 
 
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Toxicity:
+    """Count the documents of both labels by bucket of words, over a sample bounded by ``rows``, and fit what stands out.
+
+    Buckets come to the driver, at most 2 ** WORD_BITS of them; of documents only which of LEXICON buckets they have. Without
+    both labels nothing is toxic.
+    """
+    stash = common.Stash(docs.sparkSession)
+    chosen = labelled(labels, id_col, label_col, rows)
+    sample = stash(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("y", F.col(text_col).alias("text")))
+    common.bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last place counts documents.
+        sums = np.zeros((2, (1 << WORD_BITS) + 1), np.int64)
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False) > 0
+            data, offs = vector.buffers(batch.column(1))
+            for a, b in vector.pieces(offs):
+                rows, buckets = word_buckets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                found = np.unique((rows << WORD_BITS) + buckets)  # of every row, each bucket once
+                for k in (0, 1):
+                    own = found[y[a + (found >> WORD_BITS)] == k] & ((1 << WORD_BITS) - 1)
+                    sums[k][:-1] += np.bincount(own, minlength=1 << WORD_BITS)
+            sums[:, -1] += (~y).sum(), y.sum()
+        full = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[0][full]), pa.array(sums[1][full])], names=["bucket", "clean", "toxic"])
+
+    counts = stash(sample.mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    whole = counts.where(F.col("bucket") == 1 << WORD_BITS).first()
+    if whole is None or not whole["clean"] or not whole["toxic"]:
+        return Toxicity()
+    odds = {}
+    for r in counts.where((F.col("bucket") < 1 << WORD_BITS) & (F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * whole["toxic"]))).collect():
+        x, y = r["toxic"] + 0.5, r["clean"] + 0.5
+        least = math.log(x / (whole["toxic"] + 1)) - math.log(y / (whole["clean"] + 1)) - 2 * math.sqrt(1 / x + 1 / y)
+        if least > LEAST_LOG_ODDS:
+            odds[r["bucket"]] = least
+    lexicon = Toxicity(0.0, {k: 0.0 for k in sorted(odds, key=lambda k: (-odds[k], k))[:LEXICON]})
+    n = len(lexicon.known)
+
+    def presence(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray]:
+        out = np.zeros((len(offs) - 1, n), np.int8)
+        out[lexicon.found(data, offs)] = 1
+        return (out,)
+
+    got = per_text(sample, "text", ["x"], [T.ArrayType(T.ByteType())], lambda: presence).toPandas()
+    w = logistic(np.stack(got["x"].to_numpy()).astype(np.float64).reshape(len(got), n), got["y"].to_numpy(), ridge=0.1)
+    return Toxicity(float(w[0]), dict(zip(lexicon.known.tolist(), w[1:].tolist(), strict=True)))
+
+
 def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -163,23 +283,38 @@ def strength(mean: float, n: float, q: float | None, s: float, nn: float | None,
     return clamp(mean * (1 - mean) / variance - 1) if variance > 0 and math.isfinite(variance) else 1e6
 
 
-def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """Evidence, posteriors, score and verdict for every row.
+def judge(docs: DataFrame, model: Model, toxicity: Toxicity | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """Evidence, posteriors, score, probability of toxicity and verdict for every row.
 
     Null hosts and paths are sites of their own, named by the empty string. Null and empty texts have the features of no
     words. Repeated rows are each judged and each counted. An empty table gives no rows. The table of sites is joined
     by host and path; a site with a third of all documents is one row there, and the documents' side can be split.
     """
     stash = common.Stash(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model, toxicity or Toxicity()))
+
+    def make_one():
+        model, toxicity = shared.value
+        return lambda data, offs: (model(document_features(data, offs)), toxicity(data, offs))
+
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    evidence = stash(with_features(text, "text", "evidence", model).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))
+    evidence = stash(per_text(text, "text", ["evidence", "toxic"], [T.DoubleType()] * 2, make_one).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))
     sites = posteriors(evidence).select("host", "path", "host_mean", "path_mean", "global_mean")
     joined = evidence.join(sites, ["host", "path"])
     score = 1 / (1 + F.exp(-(F.col("evidence") + SITE_WEIGHT * (logit(F.col("path_mean")) - logit(F.col("global_mean"))))))
-    return joined.select(F.col("id").alias(id_col), F.round("evidence", 6).alias("evidence"), F.round("host_mean", 6).alias("host_mean"), F.round("path_mean", 6).alias("path_mean"), F.round(score, 6).alias("score"), (score >= KEEP).alias("kept"))
+    return joined.select(
+        F.col("id").alias(id_col),
+        F.round("evidence", 6).alias("evidence"),
+        F.round("host_mean", 6).alias("host_mean"),
+        F.round("path_mean", 6).alias("path_mean"),
+        F.round(score, 6).alias("score"),
+        F.round(1 / (1 + F.exp(-F.col("toxic"))), 6).alias("toxicity"),
+        ((score >= KEEP) & (F.col("toxic") < 0)).alias("kept"),
+    )
 
 
 def op4_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality of every document, from a model fitted on the labelled ones."""
+    """The quality and toxicity of every document, from models fitted on the labelled ones."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return judge(docs, fit(docs, common.read(spark, sf_dir, "labels").select("doc_id", "quality")))
+    labels = common.read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return judge(docs, fit(docs, labels), fit_toxicity(docs, labels))
