@@ -4,7 +4,7 @@ A text is a product of pattern matches, over which encoding is a homomorphism: n
 halves are encoded recursively and joined: the tokens around the seam are encoded again in a window that grows until the
 pairs at both of its edges are stable. A pair (a, b) is stable if the bytes of a and b together encode to (a, b); a
 sequence whose neighbours are all stable is the encoding of its bytes, so nothing outside the window can change.
-Decoding concatenates the bytes of the tokens up the same tree.
+Decoding looks up the bytes of runs of tokens, the leaves of a tree over a text's ids, and concatenates neighbours up it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from tidewell.llm import common, vector
 
 LEAF = 16
+#: Ids whose bytes are looked up at once in decoding.
+LEAF_IDS = 4096
 SCANNED = 64
 CACHED_PIECES = 300_000
 NEVER = 1 << 62
@@ -190,6 +192,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     return common.arrow_map(df, make, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
+def up(parts: list[bytes]) -> bytes:
+    """The product of a row of leaves: neighbours are concatenated until one part is left."""
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else b""
+
+
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
     """Add ``into``, the bytes of the ids in ``ids_col``. Null and empty arrays give no bytes; an unknown id fails the job."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
@@ -217,14 +226,16 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", i
             lists = batch.column(batch.schema.get_field_index(ids_col))
             counts = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            parts, cuts = [], [0]
-            for a, b in vector.pieces(counts, 1 << 18):
-                data, ends = product(ids[counts[a] : counts[b]])
-                ends = np.concatenate([[0], ends])[counts[a + 1 : b + 1] - counts[a]]
-                parts.append(data.tobytes())
-                cuts += (ends + cuts[-1]).tolist()
-            column = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.array(cuts, np.int32)), pa.py_buffer(b"".join(parts))])
-            return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
+            # Leaves are cut at the same places whatever other texts are in the batch; their bytes are looked up together.
+            leaves = np.unique(np.concatenate([counts, *(np.arange(a, b, LEAF_IDS) for a, b in zip(counts[:-1], counts[1:], strict=True) if b - a > LEAF_IDS)]))
+            looked: dict[int, bytes] = {}
+            for a, b in vector.pieces(leaves, 1 << 18):
+                data, ends = product(ids[leaves[a] : leaves[b]])
+                cuts = np.concatenate([[0], ends])[leaves[a : b + 1] - leaves[a]].tolist()
+                raw = data.tobytes()
+                looked |= {k: raw[x:y] for k, x, y in zip(leaves[a:b].tolist(), cuts[:-1], cuts[1:], strict=True)}
+            texts = [up([looked[k] for k in range(a, b, LEAF_IDS)]) for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, into])
 
         return run
 
