@@ -12,7 +12,7 @@ scanners report wrongly (digests, UUIDs, identifiers, paths, placeholders, long
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import common
@@ -134,15 +134,16 @@ def probability(forest: list, columns: tuple[str, ...] = FEATURES) -> Column:
 
 
 def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
-    """Every candidate of every text with its place, in characters, and what stands beside it."""
+    """Every candidate of every text with its place, in characters, and what stands beside it; ``row`` and ``no`` name it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), text.alias("text")).where(F.rlike("text", F.lit(MAYBE)))
-    # Found tokens and the text between them alternate, so places are sums of lengths.
+    # Found tokens and the text between them alternate, so places are running sums of lengths.
     cut = rows.select("id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between")).where(F.size("found") > 0)
-    ends = F.aggregate(F.sequence(F.lit(0), F.size("found") - 1), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(F.get("between", i)) + F.length(F.get("found", i)))))
-    cut = cut.withColumn("ends", ends)
-    one = cut.select("id", "path", "between", F.posexplode(F.arrays_zip("found", "ends")).alias("no", "hit"))
-    return one.select("id", "path", F.col("hit.found").alias("candidate"), (F.col("hit.ends") - F.length("hit.found")).cast("long").alias("start"), F.right(F.get("between", F.col("no")), F.lit(CONTEXT)).alias("before"), F.left(F.get("between", F.col("no") + 1), F.lit(CONTEXT)).alias("after"))
+    between = F.col("between")
+    hits = F.transform("found", lambda x, i: F.struct(i.alias("no"), x.alias("candidate"), F.length(F.get(between, i)).alias("gap"), F.right(F.get(between, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("after")))
+    one = cut.select(F.monotonically_increasing_id().alias("row"), "id", "path", hits.alias("hits")).select("row", "id", "path", F.explode("hits").alias("hit")).select("row", "id", "path", "hit.*")
+    end = F.sum(F.col("gap") + F.length("candidate")).over(Window.partitionBy("row").orderBy("no"))
+    return one.select("row", "no", "id", "path", "candidate", (end - F.length("candidate")).cast("long").alias("start"), "before", "after")
 
 
 def scan(df: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", cut: float = CUT) -> DataFrame:
