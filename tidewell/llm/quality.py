@@ -1,9 +1,9 @@
 """Quality rules: cross-document line frequency, over base counts of words.
 
 Lines are normalised (ASCII white space collapsed, A-Z lower-cased), hashed, and the distinct documents of each host
-that have them counted; copies of one text are one document. A line on more than ``max_docs`` documents of a host is
-removed from all of them but the one of least digest, so that one of a family of templates keeps its text. A document
-is depleted, and rejected, if less than ``min_share`` of its words are left.
+that have them counted. Two choices keep text from being lost altogether: copies of one text are one document, as it is
+for later steps to take out copies; and a line on more than ``max_docs`` documents of a host is removed from all of them
+but the one of least digest. A document is depleted, and rejected, if less than ``min_share`` of its words are left.
 
 Every step is an aggregation with partial sums or a join that can split a hot side: a line found in a third of all
 documents is one row of counts for each task.
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidewell.llm import common
 
-MAX_DOCS = 100
+MAX_DOCS = 10
 MIN_SHARE = (1, 5)
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -60,7 +60,9 @@ def with_base(df: DataFrame, text_col: str, names: tuple[str, ...]) -> DataFrame
     return common.arrow_map(df, make, schema)
 
 
-WORDED = r"[^\x20\x09-\x0D]"
+def worded(line: Column) -> Column:
+    """Whether a raw line has a word."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def normalised(line: Column) -> Column:
@@ -81,25 +83,30 @@ def n_words(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
 
 
+def line_key(host: Column, line: Column) -> Column:
+    """The name of a normalised line of a host."""
+    return F.xxhash64(F.coalesce(host, F.lit("")), line)
+
+
 def lines_of(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """One row for each line with a word of each row: key of the row, host, text digest, hash, words."""
-    line = normalised(F.col("raw"))
-    rows = df.select(*common.row_key(host_col, text_col), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("raw"))
-    return rows.select("k1", "k2", "host", F.expr("cast(conv(substr(digest, 1, 15), 16, 10) as bigint)").alias("doc"), line.alias("line")).where("line <> ''").select("k1", "k2", "host", "doc", F.xxhash64("line").alias("h"), n_words(F.col("line")).cast("long").alias("w"))
+    """One row for each line with a word of each row: key of the row, text digest, hash of host and line, words."""
+    rows = df.select(*common.row_key(host_col, text_col), F.col(host_col).alias("host"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("raw"))
+    rows = rows.where(worded(F.col("raw"))).select("k1", "k2", "host", F.expr("cast(conv(substr(digest, 1, 15), 16, 10) as bigint)").alias("doc"), normalised(F.col("raw")).alias("line"))
+    return rows.select("k1", "k2", "doc", line_key(F.col("host"), F.col("line")).alias("h"), n_words(F.col("line")).cast("long").alias("w"))
 
 
 def over_limit(lines: DataFrame, max_docs: int) -> DataFrame:
     """Hosts' lines on more than ``max_docs`` distinct documents, with the document that keeps them."""
-    return lines.groupBy("host", "h").agg(F.countDistinct("doc").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") > max_docs).select("host", "h", "keeper")
+    return lines.groupBy("h").agg(F.countDistinct("doc").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") > max_docs).select("h", "keeper")
 
 
 def removed_lines(df: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """Row keys with the hashes of lines to remove and the number of words these have; copies share a row."""
-    lines = lines_of(df, text_col, host_col)
+    lines = common.Stash(df.sparkSession)(lines_of(df, text_col, host_col))  # texts are split and normalised once
     frequent = over_limit(lines, max_docs)
     # Equal rows have equal keys, so occurrences are counted by line and then shared out among the copies of the row.
     copies = df.groupBy(*common.row_key(host_col, text_col)).agg(F.count("*").alias("copies"))
-    hit = lines.join(frequent, ["host", "h"]).where("doc <> keeper").groupBy("k1", "k2").agg(F.sum("w").alias("w"), F.collect_set("h").alias("removed"))
+    hit = lines.join(frequent, "h").where("doc <> keeper").groupBy("k1", "k2").agg(F.sum("w").alias("w"), F.collect_set("h").alias("removed"))
     return hit.join(copies, ["k1", "k2"]).select("k1", "k2", "removed", F.expr("w div copies").alias("n_removed_words"))
 
 
@@ -130,7 +137,7 @@ def filtered(df: DataFrame, text_col: str = "text", host_col: str = "source") ->
     names = common.fresh(df, *COUNTS, "base_failed", "n_removed_words", "removed_lines", "kept")
     judged = rules(df, text_col, host_col).where(F.col(names[-1]))
     gone = F.col(names[7])
-    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x)))), "\n"))
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(gone, line_key(F.col(host_col), normalised(x)))), "\n"))
     return judged.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
