@@ -77,7 +77,7 @@ class Stash:
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/stash-{uuid.uuid4().hex}"
         with tidy_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         atexit.register(_delete, self.spark, path)
