@@ -1,8 +1,9 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are long runs of token characters. Their features come from SQL functions: length, transitions between
-character classes, the share of the candidate that dictionary syllables cover, the path or host of the document, and the
-words beside the candidate. A forest, trained from labelled findings, gives the probability that a candidate is a
+character classes, the share of the candidate that words of a dictionary cover, and that common syllables do, the path or
+host of the document, and the words beside the candidate. The dictionary is that of the corpus: words that stand alone
+in several documents, counted over all of them and joined with the parts of the candidates. A forest, trained from labelled findings, gives the probability that a candidate is a
 secret. There is no Python on the executors: extraction, features and the forest all run in the JVM, the forest as a
 sum of CASE expressions made from its trees.
 
@@ -31,7 +32,13 @@ TRAINING_FINDINGS = 12_000
 CUT = 0.5
 CONTEXT = 40
 
-FEATURES = ("length", "classes", "transitions", "digits", "uppers", "coverage", "repeats", "known", "cue", "innocent", "quoted", "assigned", "path_kind", "hexlike", "uuid")
+#: A word of the dictionary stands alone in so many documents; made findings use the most common of them.
+WORD_DOCS = 3
+COMMON_WORDS = 200
+WORD = r"(?<!\S)[\"'(]?([A-Za-z][a-z]{2,19})[.,;:!?)\"']*(?!\S)"
+PART = r"[A-Z]?[a-z]{2,}|[A-Z]{3,}"
+
+FEATURES = ("words", "length", "classes", "transitions", "digits", "uppers", "coverage", "repeats", "known", "cue", "innocent", "quoted", "assigned", "path_kind", "hexlike", "uuid")
 
 
 def share(text: Column, pattern: str) -> Column:
@@ -39,14 +46,28 @@ def share(text: Column, pattern: str) -> Column:
     return 1 - F.length(F.regexp_replace(text, pattern, "")) / F.greatest(F.length(text), F.lit(1))
 
 
-def features(candidate: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
-    """``before`` and ``after`` are what stands beside the candidate; nulls count as empty."""
+def dictionary(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word`` and ``n``, the documents it stands alone in, of all words that do so in ``WORD_DOCS`` of them, in lower case."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(1)), F.lower))
+    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_DOCS)
+
+
+def with_words(df: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """Add ``covered``, the letters of parts of ``candidate`` that are words. ``keys`` name a row; words are joined by shuffle."""
+    parts = df.select(*keys, F.explode(F.transform(F.regexp_extract_all("candidate", F.lit(PART), F.lit(0)), F.lower)).alias("word"))
+    covered = parts.join(common.sorted_side(known.select("word")), "word").groupBy(*keys).agg(F.sum(F.length("word")).alias("covered"))
+    return df.join(common.sorted_side(covered), list(keys), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
+def features(candidate: Column, before: Column, after: Column, path: Column, covered: Column) -> dict[str, Column]:
+    """``before`` and ``after`` are what stands beside the candidate, ``covered`` its letters in words; nulls count as empty."""
     candidate, before, after, path = (F.coalesce(c, F.lit("")) for c in (candidate, before, after, path))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     runs = F.regexp_replace(shape, r"(.)\1+", "$1")
     has = [F.when(F.contains(shape, F.lit(c)), 1).otherwise(0) for c in "aA0"]
     flag = lambda col: F.when(col, 1.0).otherwise(0.0)
     return {
+        "words": F.coalesce(covered, F.lit(0)) / F.greatest(F.length(candidate), F.lit(1)),
         "length": F.length(candidate).cast("double"),
         "classes": (has[0] + has[1] + has[2]).cast("double"),
         "transitions": (F.length(runs) - 1) / F.greatest(F.length(candidate), F.lit(1)),
@@ -65,8 +86,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFrame:
-    """``n`` findings with label 1 for a secret, made from a counter: the same rows in every session."""
+def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS, words: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` findings with label 1 for a secret, made from a counter and common words: the same rows in every session."""
     digest = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 512)
     pick = lambda salt, k: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(k)).cast("int")
     base = F.translate(F.base64(F.unhex(digest("a"))), "+/=", "xyz")
@@ -74,10 +95,12 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     syllables = ["tion", "the", "ing", "er", "and", "heit", "ment", "eau", "que", "ado", "in", "or"]
     word = F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), pick(f"w{i}", len(syllables)) + 1) for i in range(7)])
     one = lambda salt, *options: F.element_at(F.array(*options), pick(salt, len(options)) + 1)
+    terms = [one(f"t{i}", *map(F.lit, words)) if words else F.lit(syllables[i]) for i in range(4)]
+    named = one("named", F.concat_ws("_", *terms), F.concat_ws("-", *terms), F.concat_ws("/", *terms), F.concat(*map(F.initcap, terms)), F.upper(F.concat_ws("_", *terms)))
     secret = one("s", F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.substring(digest("h"), 1, 40), F.substring(base, 1, 40), F.concat(F.lit("ghp_"), F.substring(base, 1, 36)), F.concat(F.lit("sk-"), F.substring(base, 1, 48)), F.substring(digest("i"), 1, 64), F.substring(base, 1, 24))
     hexes = F.substring(digest("j"), 1, 32)
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
-    innocent = one("n", word, F.upper(word), F.concat(F.initcap(word), F.lit("_"), F.reverse(word)), uuid, F.substring(digest("k"), 1, 40), F.substring(digest("l"), 1, 64), F.repeat(one("r", F.lit("0"), F.lit("x"), F.lit("-"), F.lit("="), F.lit("ab")), pick("q", 20) + 16), F.concat_ws("/", F.substring(word, 1, 8), F.lit("src"), F.substring(word, 5, 9)), F.concat(F.lit("2024"), F.rpad(F.col("id").cast("string"), 14, "0")))
+    innocent = one("n", named, named, named, word, F.upper(word), F.concat(F.initcap(word), F.lit("_"), F.reverse(word)), uuid, F.substring(digest("k"), 1, 40), F.substring(digest("l"), 1, 64), F.repeat(one("r", F.lit("0"), F.lit("x"), F.lit("-"), F.lit("="), F.lit("ab")), pick("q", 20) + 16), F.concat_ws("/", F.substring(word, 1, 8), F.lit("src"), F.substring(word, 5, 9)), F.concat(F.lit("2024"), F.rpad(F.col("id").cast("string"), 14, "0")))
     # A bare hexadecimal digest is no finding unless something near it says so.
     known = F.rlike(secret, F.lit(KNOWN))
     secret_before = F.when(~known & (F.col("c") == "the and "), F.lit("token = ")).otherwise(F.col("c"))
@@ -102,11 +125,14 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
 
 
 def train(findings: DataFrame, trees: int = 15, depth: int = 4) -> list:
-    """Fit the forest; returns its trees as nested tuples. At most as many findings as were given are read."""
+    """Fit the forest; returns its trees as nested tuples. At most as many findings as were given are read.
+
+    Findings have the column ``covered`` of ``with_words``.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), F.col("covered"))
     rows = findings.select("label", *[c.cast("double").alias(k) for k, c in made.items()])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features").coalesce(2)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt").fit(rows)
@@ -146,20 +172,27 @@ def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str) -> Data
     return one.select("row", "no", "id", "path", "candidate", (end - F.length("candidate")).cast("long").alias("start"), "before", "after")
 
 
-def scan(df: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", cut: float = CUT) -> DataFrame:
+def scan(df: DataFrame, forest: list, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", cut: float = CUT) -> DataFrame:
     """Id, place, digest of the candidate, probability and verdict of every candidate of every text.
 
     Null and empty texts have no candidates; a null path is one without kind; repeated rows give repeated findings; texts
     of any length are scanned whole, and runs of any length are candidates from 16 characters on, or after a cue,
-    but for over 512 times one character.
+    but for over 512 times one character. ``known`` is a dictionary, which may be empty.
     """
-    found = candidates(df, id_col, text_col, path_col)
-    made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    found = with_words(common.Stash(df.sparkSession)(candidates(df, id_col, text_col, path_col)), known, "row", "no")
+    made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), F.col("covered"))
     scored = found.select("id", "start", "candidate", *[c.cast("double").alias(k) for k, c in made.items()]).withColumn("probability", F.round(probability(forest), 6))
     return scored.select(F.col("id").alias(id_col), "start", (F.col("start") + F.length("candidate")).alias("end"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", (F.col("probability") >= cut).alias("is_secret"))
 
 
+def fitted(known: DataFrame) -> list:
+    """A forest from findings made with the common words of a dictionary, of which at most COMMON_WORDS come to the driver."""
+    words = tuple(r["word"] for r in known.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect())
+    return train(with_words(labelled_findings(known.sparkSession, words=words), known, "id"))
+
+
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in ``documents``, judged by a forest trained from labelled findings."""
-    forest = train(labelled_findings(spark))
-    return scan(common.read(spark, sf_dir, "documents").select("doc_id", "text", "source"), forest)
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    known = common.Stash(spark)(dictionary(docs))
+    return scan(docs, fitted(known), known)
