@@ -7,7 +7,7 @@ of one contents needs no further look, unless the segment repeats in itself. Wha
 edges of copied passages. These are sharded by anchor, one row for each contents, and every shard gets a suffix array:
 
 * suffixes are classified, and the leftmost-smaller (LMS) substrings sorted by induction, a bucket at a time;
-* their names are sorted, recursively doubling the names compared, until all suffixes of the name string differ;
+* the suffixes of the string of their names are sorted by pairs of names, then pairs of pairs, and so on, until all differ;
 * the array is induced from the sorted LMS suffixes, in time linear in the shard;
 * permuted common prefixes are computed where they are irreducible and follow elsewhere.
 
@@ -256,15 +256,20 @@ def segment_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Starts of strings to remove, as keys of the document, first and number. ``docs`` has k1, k2 and text."""
+    """Starts of strings to remove, as keys of the document, first and number. ``docs`` has k1, k2 and text.
+
+    Null and empty texts, and those shorter than ``length``, have none. Equal keys are copies of one text, whose strings are
+    then found elsewhere. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     stash = common.Stash(spark)
-    rows = segment_rows(docs, length)
+    rows = stash(segment_rows(docs, length))  # texts are hashed once
     counts = stash(rows.groupBy("anchor", "contents").agg(F.count("*").alias("copies"), F.max("loops").alias("loops")))
     mixed = counts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = stash(counts.join(mixed, "anchor", "left").where("copies > 1 or kinds > 1 or loops"))
     stash.drop(counts)
     found = stash(rows.drop("loops").join(wanted, ["anchor", "contents"]))
+    stash.drop(rows)
     whole = found.where("copies > 1").select("k1", "k2", F.col("start").alias("first"), "n")
     # One occurrence of each contents is fetched where an anchor has several, or one that may repeat in itself.
     chosen = found.where("kinds > 1 or (loops and copies = 1)").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long"))).groupBy("anchor", "contents", "kinds", "n").agg(F.min(F.struct("k1", "k2", "start")).alias("at"))
