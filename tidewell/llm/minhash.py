@@ -9,8 +9,12 @@ Consistent weighted sampling draws, for each of ``BANDS * ROWS`` seeds, a shingl
 with the probability of their weighted Jaccard similarity. Texts that agree on all rows of a band share a bucket.
 Equal texts are one node throughout. In a bucket of up to ``PAIRED`` texts each is compared with each; in a larger one
 all are compared with one of them, drawn by hash, and the bucket is split by the next band, again and again. Candidates
-become links if their exact weighted Jaccard similarity reaches ``SIMILAR``. Texts of larger buckets that are not in one
-class by then are joined through an index of their rarest shingles, which misses no pair that is similar enough.
+become links if their exact weighted Jaccard similarity reaches ``SIMILAR``.
+
+Where a larger bucket still holds several classes, all its texts are compared with its hub, the one whose shingles are the
+most common, which joins what random leaders leave apart. Texts of classes that are still apart are then joined through
+an index of their rarest shingles, which misses no pair that is similar enough. So every similar pair of a bucket is
+in one class, though pairs within a class are not all compared.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm import common, vector
-from tidewell.llm.components import components
+from tidewell.llm.components import components, merged
 
 WORDS = 5
 SIMILAR = 0.8
@@ -194,51 +198,65 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of the texts in buckets of more than ``PAIRED`` that hold more than one class."""
+    """``key``, ``node`` and ``root`` of the texts in buckets of more than ``PAIRED`` that hold more than one class."""
     stash = common.Stash(nodes.sparkSession)
     rows = nodes.select("node", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED).select("key")
     full = stash(rows.join(sizes, "key").join(common.sorted_side(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     mixed = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return stash(full.join(mixed, "key", "left_semi").select("node", "root").distinct())
+    return stash(full.join(mixed, "key", "left_semi"))
 
 
 def weighted(df: DataFrame, weights: Weights) -> DataFrame:
-    """``node``, ``root``, ``shingle`` and ``weight`` for every distinct shingle of every ``text``."""
+    """``node``, ``shingle`` and ``weight`` for every distinct shingle of every ``text``."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
-    node_at, root_at, text_at = (df.columns.index(c) for c in ("node", "root", "text"))
+    node_at, text_at = (df.columns.index(c) for c in ("node", "text"))
     common.bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigher = shared.value
         for batch in batches:
             for a, _, rows, got, counts in chunks(batch.column(text_at)):
-                at = pa.array(rows + a)
-                columns = [batch.column(node_at).take(at), batch.column(root_at).take(at), pa.array(got.view(np.int64)), pa.array(weigher(got, counts))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "shingle", "weight"])
+                columns = [batch.column(node_at).take(pa.array(rows + a)), pa.array(got.view(np.int64)), pa.array(weigher(got, counts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingle", "weight"])
+
+    return df.mapInArrow(run, "node binary, shingle long, weight double")
+
+
+def counted_shingles(texts: DataFrame, weights: Weights) -> DataFrame:
+    """``node``, ``shingle``, ``weight``, and ``n``, the number of these texts that have the shingle."""
+    stash = common.Stash(texts.sparkSession)
+    every = stash(weighted(texts, weights))
+    out = stash(every.join(common.sorted_side(every.groupBy("shingle").agg(F.count("*").alias("n"))), "shingle"))
+    stash.drop(every)
+    return out
+
 
-    return df.mapInArrow(run, "node binary, root binary, shingle long, weight double")
+def hub_pairs(crowd: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Pairs of the texts of a bucket and its hub, where they are of different classes."""
+    score = shingles.groupBy("node").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("weight")).alias("score"))
+    known = crowd.join(common.sorted_side(score), "node")
+    hubs = known.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), F.struct("score", "node")).alias("best")).select("key", "best.*")
+    return crowd.join(hubs, "key").where("root <> hub_root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def indexed_pairs(texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
+def indexed_pairs(shingles: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """Pairs of ``node`` of different ``root`` that may be similar enough: all that are, and few others.
 
-    Shingles are ordered by the number of texts that have them. Similar texts share at least ``similar`` of the weight of
-    the heavier one, and 2 s / (1 + s) of that of the lighter one; so they share a shingle of those that come before the
-    last such share of each.
+    Shingles are ordered by the number of texts that have them. What two texts share is at most what either has from their
+    first common shingle on. Similar texts share at least s / (1 + s) of the weight of both; so do the rest of either from
+    that shingle on, and that rest is at least ``similar`` of the heavier text and 2 s / (1 + s) of the lighter one.
     """
-    stash = common.Stash(texts.sparkSession)
-    every = stash(weighted(texts, weights))
-    known = every.groupBy("shingle").agg(F.count("*").alias("n"))
     own = Window.partitionBy("node")
     before = F.sum("weight").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1))
-    placed = every.join(common.sorted_side(known), "shingle").withColumns({"total": F.sum("weight").over(own), "before": F.coalesce(before, F.lit(0.0))})
-    left = (F.col("total") - F.col("before")) / F.col("total") + 1e-9
-    first = stash(placed.where((F.col("n") > 1) & (left >= similar)).select("node", "root", "shingle", "total", (left >= 2 * similar / (1 + similar)).alias("rare")))
-    light = first.where("rare").select("shingle", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("total").alias("total_u"))
-    heavy = first.select("shingle", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("total").alias("total_v"))
-    ordered = (F.struct("total_u", "u") < F.struct("total_v", "v")) & (F.col("total_u") >= (similar - 1e-9) * F.col("total_v"))
-    met = light.join(common.sorted_side(heavy), "shingle").where((F.col("root_u") != F.col("root_v")) & ordered)
+    placed = shingles.join(common.sorted_side(roots), "node").withColumns({"total": F.sum("weight").over(own), "before": F.coalesce(before, F.lit(0.0))}).withColumn("left", F.col("total") - F.col("before"))
+    share = F.col("left") / F.col("total") + 1e-9
+    first = common.Stash(shingles.sparkSession)(placed.where((F.col("n") > 1) & (share >= similar)).select("node", "root", "shingle", "total", "left", (share >= 2 * similar / (1 + similar)).alias("rare")))
+    light = first.where("rare").select("shingle", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("total").alias("total_u"), F.col("left").alias("left_u"))
+    heavy = first.select("shingle", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("total").alias("total_v"), F.col("left").alias("left_v"))
+    ordered = F.struct("total_u", "u") < F.struct("total_v", "v")
+    enough = F.least("left_u", "left_v") >= (similar / (1 + similar) - 1e-9) * (F.col("total_u") + F.col("total_v"))
+    met = light.join(common.sorted_side(heavy), "shingle").where((F.col("root_u") != F.col("root_v")) & ordered & enough)
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -278,8 +296,11 @@ def node_of(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def links(df: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Links ``u``, ``v`` between different texts, named by their MD5 digests, that are similar enough."""
+def groups(df: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``node`` and ``root``, its class, of the texts, named by their MD5 digests, that have similar ones.
+
+    Rows of one text count once; null is the empty text, which is similar to none.
+    """
     stash = common.Stash(df.sparkSession)
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node_of("text"))
     weights = weigh(docs)
@@ -289,49 +310,49 @@ def links(df: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> Da
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     known = stash(docs.join(common.sorted_side(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
-    def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
-        joined = some.join(common.sorted_side(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))), "u").join(common.sorted_side(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))), "v")
-        return stash(similarity(joined, weights).where(F.col("similarity") >= similar - 1e-9))
+    def verified(some: DataFrame) -> DataFrame:
+        joined = some.join(common.sorted_side(known.select(F.col("node").alias("u"), F.col("text").alias("text_u"))), "u").join(common.sorted_side(known.select(F.col("node").alias("v"), F.col("text").alias("text_v"))), "v")
+        return stash(similarity(joined, weights).where(F.col("similarity") >= similar - 1e-9).select("u", "v"))
 
-    found = verified(pairs, known)
-    crowd = crowded(nodes, components(found))
+    roots = components(verified(pairs))
+    crowd = crowded(nodes, roots)
     if not crowd.isEmpty():
         # Members of a bucket are candidates, so their texts are known.
-        texts = known.join(common.sorted_side(crowd), "node")
-        more = stash(indexed_pairs(texts, weights, similar))
-        found = found.union(verified(more, known))
+        apart = counted_shingles(known.join(common.sorted_side(crowd.select("node").distinct()), "node", "left_semi"), weights)
+        roots = merged(roots, verified(hub_pairs(crowd, apart)))
+        crowd = crowded(nodes, roots)
+        if not crowd.isEmpty():
+            roots = merged(roots, verified(indexed_pairs(apart, crowd.select("node", "root").distinct(), similar)))
     stash.drop(known)
     stash.drop(nodes)
-    return found
+    return roots
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Id, class and links of every row. A class is a connected component of links, named by its least id.
+    """Id and class of every row. A class is a connected component of links, named by its least id.
 
-    Equal texts are one node, so they share a class and are not links; null is the empty text. Texts without words are
+    Equal texts are one node, so they share a class; null is the empty text. Texts without words are
     alike only if equal. A class whose ids are all null has a null name. Repeated rows are copies. Texts of any length
     are compared whole.
     """
     stash = common.Stash(df.sparkSession)
-    found = links(df, text_col, similar)
-    degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    groups = components(found).join(degree, "node")
-    members = stash(df.select(F.col(id_col).alias("id"), node_of(text_col).alias("node")).join(common.sorted_side(groups), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links")))
+    known = groups(df, text_col, similar)
+    members = stash(df.select(F.col(id_col).alias("id"), node_of(text_col).alias("node")).join(common.sorted_side(known), "node", "left").select("id", F.coalesce("root", "node").alias("root")))
     names = members.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
-    return members.join(common.sorted_side(names.where("size > 1")), "root", "left").select(F.col("id").alias(id_col), F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "node")
+    return members.join(common.sorted_side(names.where("size > 1")), "root", "left").select(F.col("id").alias(id_col), F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row of each class, in the columns of ``df``: that of the least id, nulls last, then of the least digest."""
     stash = common.Stash(df.sparkSession)
-    groups = components(links(df, text_col, similar))
+    known = groups(df, text_col, similar)
     others = [F.to_json(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]))]
     k1, k2 = common.fresh(df, "k1", "k2")
     a, b = common.row_key(id_col, text_col, *others)
     keyed = df.withColumns({k1: a, k2: b})
     # The choice is made on narrow rows; texts are shuffled once, to take out the rows that go.
     narrow = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(id_col).alias("id"), node_of(text_col).alias("node"))
-    placed = stash(narrow.join(common.sorted_side(groups), "node", "left").select("k1", "k2", "id", "node", F.coalesce("root", "node").alias("root")))
+    placed = stash(narrow.join(common.sorted_side(known), "node", "left").select("k1", "k2", "id", "node", F.coalesce("root", "node").alias("root")))
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("node"), F.col("k1"), F.col("k2"))
     first = placed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
     judged = placed.join(common.sorted_side(first), "root").groupBy("k1", "k2").agg(F.max((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))).alias("wins"), F.count("*").alias("copies"))
@@ -342,6 +363,6 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class and number of links of every document."""
+    """The class of every document."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", "n_links")
+    return classes(docs).select("doc_id", "class_id")
