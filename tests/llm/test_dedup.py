@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_ops import DOC, ODD
-from tidewell.llm import lines, minhash, quality, suffix
+from tidewell.llm import common, lines, minhash, quality, suffix
 from tidewell.llm.components import components
 
 
@@ -49,27 +50,88 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-@pytest.mark.parametrize("paired", [32, 2])
-def test_line_classes_equal_brute_force(spark, monkeypatch, paired):
+def edited(rng, x, letters="abcé日"):
+    p, r, c = rng.randrange(len(x) + 1), rng.random(), rng.choice(letters)
+    return x[:p] + c + x[p:] if r < 0.33 else x[:p] + x[p + 1 :] if r < 0.66 else x[:p] + c + x[p + 1 :]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_bit_parallel_distance_equals_levenshtein(spark, k):
+    rng, rows = random.Random(k), []
+    for _ in range(400):
+        x = y = "".join(rng.choice("abé日") for _ in range(rng.randrange(12)))
+        for _ in range(rng.randrange(k + 2)):
+            y = edited(rng, y, "abé日")
+        if abs(len(x) - len(y)) <= k:
+            rows.append((*sorted([x, y], key=len), levenshtein(x, y)))
+    long = "".join(rng.choice("abé日") for _ in range(400))
+    for at in (0, 1, 19, 20, 21, 39, 40, 200, 398, 399):
+        for edits in ([(at, "x")], [(at, "")], [(at, long[at] + "z")], [(at, "x"), (max(0, at - 5), "")], [(at, "x"), (300, "xy"), (20, "")]):
+            y = long
+            for p, new in edits:
+                y = y[:p] + new + y[p + 1 :]
+            if abs(len(y) - 400) <= k:
+                rows.append((*sorted([long, y], key=len), levenshtein(long, y)))
+    out = spark.createDataFrame(rows, "x string, y string, d int").select("d", lines.within(F.col("x"), F.col("y"), k).alias("near")).collect()
+    assert len(out) > 200 and all(r.near == (r.d <= k) for r in out)
+
+
+def brute_lines(rows, per_edit):
+    """What ``op9`` gives for (id, text) rows, without repeated rows: lines, links, removed lines, kept numbers and classes."""
+    at = [(i, no, " ".join(raw.split())) for i, text in rows for no, raw in enumerate((text or "").split("\n")) if raw.split()]
+    own = sorted({x for _, _, x in at})
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if min(len(own[i]), len(own[j])) >= per_edit and one_edit(own[i], own[j])]
+    label = dict(zip(own, groups(len(own), pairs), strict=True))
+    degree = Counter(own[i] for pair in pairs for i in pair)
+    seen, out = set(), {i: ([], 0, []) for i, _ in rows}
+    for i, no, x in sorted(at):
+        classes, n, kept = out[i]
+        out[i] = ([*classes, label[x]], n + degree[x], kept if label[x] in seen else [*kept, no])
+        seen.add(label[x])
+    return out
+
+
+@pytest.mark.parametrize(("paired", "per_edit"), [(32, 8), (2, 8), (2, 1), (1, 3)])
+def test_line_query_equals_brute_force(spark, tmp_path, monkeypatch, paired, per_edit):
     monkeypatch.setattr(lines, "PAIRED", paired)
+    monkeypatch.setattr(lines.marked, "__defaults__", ("doc_id", "text", per_edit))
     rng = random.Random(5)
-
-    def edit(x):
-        p, r, c = rng.randrange(len(x) + 1), rng.random(), rng.choice("abcé日")
-        return x[:p] + c + x[p:] if r < 0.33 else x[:p] + x[p + 1 :] if r < 0.66 else x[:p] + c + x[p + 1 :]
-
     all_lines = []
     for _ in range(200):
         x = f"the quick brown fox jumps over {rng.randrange(6)}"
         for _ in range(rng.choice([0, 1, 1, 2, 3])):
-            x = edit(x)
+            x = edited(rng, x)
         all_lines.append(x)
-    all_lines += [f"template line number {i:03d} of the list" for i in range(80)] + ["short", "short", "shorts"]
-    docs = spark.createDataFrame([(i, "\n".join(all_lines[i::31])) for i in range(31)], "doc_id bigint, text string")
-    own = sorted({" ".join(x.split()) for x in all_lines})
-    label = groups(len(own), [(i, j) for i in range(len(own)) for j in range(i) if min(len(own[i]), len(own[j])) >= 16 and one_edit(own[i], own[j])])
-    got = lines.marked(docs)
-    assert got.select("class").distinct().count() == len(set(label)) == got.where("not goes").count()
+    all_lines += [f"template line number {i:03d} of the list" for i in range(80)] + ["short", "short", "shorts", "sorts", "  "]
+    all_lines += ["".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(40)] + [f"Seite {i} von 30" for i in range(8, 14)]
+    rng.shuffle(all_lines)
+    rows = [(i, "\n".join(all_lines[i::31])) for i in range(31)] + [(90, None), (91, ""), (92, " \n\t")]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "t/documents.parquet"))
+    want = brute_lines(rows, per_edit)
+    got = {r.doc_id: r for r in lines.op9_segment_join(spark, str(tmp_path / "t")).collect()}
+    assert got.keys() == want.keys()
+    marks = lines.marked(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    keys = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", *common.row_key("doc_id", "text"))
+    ours = {(r.doc_id, r.no): r["class"] for r in marks.join(keys, ["k1", "k2"]).collect()}
+    named: dict = {}
+    for i, (classes, n, kept) in want.items():
+        mine = [ours[i, no] for no in sorted(no for d, no in ours if d == i)]
+        r = got[i]
+        assert (r.n_lines, r.n_links, r.n_removed) == (len(classes), n, len(classes) - len(kept))
+        assert r.kept_sha256 == hashlib.sha256(",".join(map(str, kept)).encode()).hexdigest()
+        assert r.classes_sha256 == hashlib.sha256(",".join(map(str, mine)).encode()).hexdigest()
+        for ours_is, theirs in zip(mine, classes, strict=True):
+            assert named.setdefault(("ours", ours_is), theirs) == theirs and named.setdefault(("theirs", theirs), ours_is) == ours_is
 
 
 def test_lines_of_odd_rows(odd):
@@ -118,6 +180,32 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, paired):
     assert kept.columns == docs.columns and kept.count() == minhash.classes(docs).selectExpr("coalesce(class_id, -1) c").distinct().count()
 
 
+def test_near_query_equals_brute_force_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    weights = minhash.weigh(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = sorted({r.text or "" for r in docs})
+    at = {t: i for i, t in enumerate(texts)}
+    posted, total = {}, []
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, got, counts = minhash.shingles(raw, np.array([0, len(raw)]))
+        own = weights(got, counts).tolist()
+        total.append(sum(own))
+        for k, w in zip(got.tolist(), own, strict=True):
+            posted.setdefault(k, []).append((i, w))
+    both = Counter()
+    for own in posted.values():
+        for x, (i, w) in enumerate(own):
+            for j, v in own[:x]:
+                both[j, i] += min(w, v)
+    links = [(i, j) for (i, j), w in both.items() if w / (total[i] + total[j] - w) >= minhash.SIMILAR - 1e-9]
+    label, first, want = groups(len(texts), links), {}, {}
+    for r in docs:
+        want[r.doc_id] = first.setdefault(label[at[r.text or ""]], r.doc_id)
+    assert len(links) >= 5 and {r.doc_id: r.class_id for r in minhash.op8_weighted_minhash(spark, sf).collect()} == want
+
+
 def test_near_copies_within_a_template(spark, monkeypatch):
     shared = [f"s{i}" for i in range(170)]
     texts = []
@@ -178,16 +266,33 @@ def brute_removed(rows, n):
         yield bytes(b for b, g in zip(t, gone, strict=True) if not g)
 
 
+def spans_of(rows, n):
+    """The removed runs of each text."""
+    count = Counter(t[i : i + n] for t in rows for i in range(len(t) - n + 1))
+    for t in rows:
+        gone = bytearray(len(t) + 1)
+        for i in range(len(t) - n + 1):
+            if count[t[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
+        yield sum(gone), sum(gone[i] and not gone[i + 1] for i in range(len(t)))
+
+
 @pytest.mark.parametrize("many", [2048, 2])
-def test_removed_strings_equal_brute_force(spark, monkeypatch, many):
+def test_suffix_query_equals_brute_force(spark, tmp_path, monkeypatch, many):
     monkeypatch.setattr(suffix, "MANY", many)
     rng = random.Random(6)
     passage = "".join(rng.choice("abcdé ") for _ in range(500))
     texts = ["".join(rng.choice("abcdefgé ") for _ in range(rng.randint(0, 400))) + passage[rng.randint(0, 200) : rng.randint(250, 500)] + "x" * rng.choice([0, 0, 230]) for _ in range(30)]
     texts += [texts[0], "du " * 200, None, "", "q" * 201, "r" * 200]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: bytes(r.kept) for r in suffix.without_repeats(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == list(brute_removed([(t or "").encode() for t in texts], 200))
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "t/documents.parquet"))
+    raw = [(t or "").encode() for t in texts]
+    got = {r.doc_id: r for r in suffix.op6_suffix_array(spark, str(tmp_path / "t")).collect()}
+    assert len(got) == len(texts)
+    for i, (kept, (n, spans)) in enumerate(zip(brute_removed(raw, 200), spans_of(raw, 200), strict=True)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw[i]), n, spans)
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
 def test_suffix_of_odd_rows(odd):
