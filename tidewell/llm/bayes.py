@@ -254,7 +254,11 @@ def logit(p: Column) -> Column:
 
 
 def posteriors(evidence: DataFrame) -> DataFrame:
-    """Sums for each (host, path) of column ``p``, and the posterior means of both levels."""
+    """Sums for each (host, path) of column ``p``, and the posterior means of both levels.
+
+    ``host`` and ``path`` are not null. Repeated rows each count; a null ``p`` counts as a row without evidence. Of a single
+    site, or of none, the levels tell nothing of their spread, so sites shrink to what is above them.
+    """
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     both = paths.join(hosts, "host")
