@@ -32,6 +32,17 @@ def test_key_ranges_cover_all_hashes(spark):
             assert bounds[r.p][0] <= r.h <= bounds[r.p][1]
 
 
+def test_ring_places(spark):
+    texts = ["", "a", "node-00", "é日", "🎉x", "x" * 300, None]
+    ring = hashing.Ring()
+    ring.add("a")
+    ring.add("b")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.ring_hash(F.col("t")).alias("h"), ring.owner_of(F.col("t")).alias("o")).collect()
+    for r in rows:
+        assert (r.h, r.o) == ((None, None) if r.t is None else (hashing.ring_place(r.t), ring.lookup(r.t)))
+        assert r.t is None or -(1 << 31) <= r.h < 1 << 31
+
+
 def test_ring_moves_only_what_changes():
     ring = hashing.Ring()
     ring.add("a")

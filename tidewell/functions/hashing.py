@@ -39,18 +39,45 @@ def ranges(n: int) -> list[tuple[int, int]]:
     return [(-(1 << 31) + i * width, (1 << 31) - 1 if i == n - 1 else -(1 << 31) + (i + 1) * width - 1) for i in range(n)]
 
 
-def fnv(text: str) -> int:
-    """A 32-bit FNV-1a hash with a final avalanche."""
-    h = 2166136261
-    for b in text.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    h ^= h >> 16
-    h = h * 0x85EBCA6B & 0xFFFFFFFF
-    return h ^ h >> 13
+#: Offset and prime of the 32-bit FNV hash, and the shifts of its usual avalanche (left ones add, right ones xor).
+FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+AVALANCHE = (("left", 13), ("right", 7), ("left", 3), ("right", 17), ("left", 5))
+
+
+def _signed(x: int) -> int:
+    return (x + (1 << 31)) % (1 << 32) - (1 << 31)
+
+
+def ring_place(text: str) -> int:
+    """Where on the ring of signed 32-bit numbers a text is: FNV over its UTF-16 units, then an avalanche."""
+    raw = text.encode("utf-16-be", "surrogatepass")
+    h = _signed(FNV_OFFSET)
+    for i in range(0, len(raw), 2):
+        h = _signed((h ^ int.from_bytes(raw[i : i + 2])) * FNV_PRIME)
+    for way, n in AVALANCHE:
+        h = _signed(h + (h << n)) if way == "left" else h ^ h >> n
+    return h
+
+
+def ring_hash(text: Column) -> Column:
+    """``ring_place`` of a column, as a long; null stays null."""
+    wrap = lambda x: F.pmod(x + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)
+    unit = lambda x: F.conv(x, 16, 10).cast("long")
+    coded = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), F.length(coded) - 3, F.lit(4)), lambda i: unit(F.substr(coded, i, F.lit(4))))
+    fnv = lambda acc, u: wrap(acc.bitwiseXOR(u) * F.lit(FNV_PRIME))
+
+    def spread(h: Column) -> Column:
+        for way, n in AVALANCHE:
+            h = wrap(h + F.shiftleft(h, n)) if way == "left" else h.bitwiseXOR(F.shiftright(h, n))
+        return h
+
+    empty = F.lit(_signed(FNV_OFFSET)).cast("long")
+    return F.when(text.isNull(), None).when(text == "", spread(empty)).otherwise(F.aggregate(units, empty, fnv, spread))
 
 
 class Ring:
-    """Consistent hashing over named nodes, each at several places."""
+    """Consistent hashing over named nodes, each at several places of the ring; a key belongs to the next place from its own on."""
 
     def __init__(self, replicas: int = 3):
         self.replicas, self.places, self.owner = replicas, [], {}
@@ -59,7 +86,7 @@ class Ring:
         """Returns the ranges (after, up to) that move to the node."""
         moved = []
         for i in range(self.replicas):
-            h = fnv(f"{node}#{i}")
+            h = ring_place(f"{node}{i}")
             if h in self.owner:
                 continue
             if self.places and self.owner[self.places[bisect_left(self.places, h) % len(self.places)]] != node:
@@ -80,4 +107,11 @@ class Ring:
     def lookup(self, key: str) -> str:
         if not self.places:
             raise LookupError("the ring is empty")
-        return self.owner[self.places[bisect_left(self.places, fnv(key)) % len(self.places)]]
+        return self.owner[self.places[bisect_left(self.places, ring_place(key)) % len(self.places)]]
+
+    def owner_of(self, key: Column) -> Column:
+        """The node of each key of a column. The ring is part of the expression: a few places for each node."""
+        if not self.places:
+            raise LookupError("the ring is empty")
+        h = ring_hash(key)
+        return F.when(h.isNull(), None).otherwise(F.coalesce(F.get(F.filter(F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(self.owner[p]).alias("node")) for p in self.places]), lambda x: x["p"] >= h), F.lit(0))["node"], F.lit(self.owner[self.places[0]])))

@@ -114,6 +114,14 @@ def key_hash_range(spark, sf_dir):
     return keyed.withColumn("part", hashing.key_range(F.col("hash"), 5))
 
 
+def ring_owner(spark, sf_dir):
+    """The node of a ring of four that each user belongs to."""
+    ring = hashing.Ring()
+    for n in range(4):
+        ring.add(f"node-{n}")
+    return events(spark, sf_dir).select("event_id", ring.owner_of(F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("node"))
+
+
 def legacy_channel(spark, sf_dir):
     keyed = events(spark, sf_dir).select("event_id", hashing.channel(hashing.string_hash(F.col("event_type")), 4).alias("channel"))
     return keyed
@@ -231,7 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         server_count_changelog, server_count_final, server_count_emit_every, single_count, single_count_keyed, frequency_count, edit_server_count,
-        json_project, recent_change_project, map_project, flat_map_tokens, union_fan_in, broadcast_fan_out, fan_out_plan, key_hash_range, legacy_channel,
+        json_project, recent_change_project, map_project, flat_map_tokens, union_fan_in, broadcast_fan_out, fan_out_plan, key_hash_range, ring_owner, legacy_channel,
         weighted_sum, reduce_extremes, sliding_sum_5, time_sliding, time_tumbling, window_membership, anchored_windows, generated_servers, latency_summary,
         latency_timeline, stream_filter, stream_server_count, stream_server_count_final, stream_sliding_sum_5, stream_union, stream_time_tumbling,
     )
@@ -241,6 +249,7 @@ _RUNNING = "count(*) OVER (PARTITION BY {key} ORDER BY ts, event_id ROWS UNBOUND
 _CHANGELOG = f"SELECT event_id, event_type, n, format('Count for server-name: <{{}}>: [{{}}]', event_type, n) AS text FROM (SELECT *, {_RUNNING.format(key='event_type')} AS n FROM events WHERE event_id % 4 <> 0)"
 _POSITIVE = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({x}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, u: (a * 31 + u) % 4294967296)"
 _SIGNED = "(CASE WHEN {p} >= 2147483648 THEN {p} - 4294967296 ELSE {p} END)"
+_WRAP = "(((({x}) % 4294967296) + 6442450944) % 4294967296 - 2147483648)"
 _TUMBLING = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SLIDING_SUM = "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 4 PRECEDING), 2) AS total FROM events"
 _UNION = "SELECT event_id, event_type FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 2 = 0"
@@ -262,6 +271,14 @@ ORACLES: dict[str, str] = {
     "broadcast_fan_out": "SELECT event_id, CAST(b AS INTEGER) AS branch FROM events, range(3) AS r(b)",
     "fan_out_plan": "SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id FROM events WHERE event_id % 5 = 0) GROUP BY user_id",
     "key_hash_range": f"SELECT event_id, CAST(h AS INTEGER) AS hash, CAST(least((h + 2147483648) // 858993459, 4) AS INTEGER) AS part FROM (SELECT event_id, {_SIGNED.format(p='p')} AS h FROM (SELECT event_id, {_POSITIVE.format(x=chr(39) + 'user-' + chr(39) + ' || user_id')} AS p FROM events))",
+    "ring_owner": f"""WITH k AS (SELECT 'node-' || n || i AS t, 'node-' || n AS node FROM range(4) AS a(n), range(3) AS b(i) UNION ALL SELECT DISTINCT 'user-' || user_id, NULL FROM events),
+h0 AS (SELECT t, node, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(t, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, u: xor(a, u) * 16777619 % 4294967296) AS h FROM k),
+h1 AS (SELECT t, node, {_WRAP.format(x='h + h * 8192')} AS h FROM h0),
+h2 AS (SELECT t, node, {_WRAP.format(x='s + s * 8')} AS h FROM (SELECT t, node, xor(h, CAST(floor(h / 128.0) AS BIGINT)) AS s FROM h1)),
+h3 AS (SELECT t, node, {_WRAP.format(x='s + s * 32')} AS h FROM (SELECT t, node, xor(h, CAST(floor(h / 131072.0) AS BIGINT)) AS s FROM h2)),
+p AS (SELECT h, node FROM h3 WHERE node IS NOT NULL),
+o AS (SELECT u.t, coalesce((SELECT arg_min(node, p.h) FROM p WHERE p.h >= u.h), (SELECT arg_min(node, h) FROM p)) AS node FROM h3 AS u WHERE u.node IS NULL)
+SELECT event_id, o.node FROM events JOIN o ON o.t = 'user-' || user_id""",
     "legacy_channel": f"SELECT event_id, CAST(abs(h % 4) AS INTEGER) AS channel FROM (SELECT event_id, {_SIGNED.format(p='p')} AS h FROM (SELECT event_id, {_POSITIVE.format(x='event_type')} AS p FROM events))",
     "weighted_sum": "SELECT event_type, round(sum(value), 2) AS total FROM events GROUP BY event_type",
     "reduce_extremes": "SELECT user_id, max(value) AS most FROM events GROUP BY user_id",
