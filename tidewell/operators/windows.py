@@ -42,23 +42,24 @@ def anchored_windows(df: DataFrame, keys: list[str], time: str, size: int, slide
     """Windows anchored at the first record of a key, moved by one slide whenever a record is outside, late or early.
 
     Adds ``window_start``, ``window_end`` and ``inside``; only rows inside would be emitted. The state of a key depends on
-    all of its earlier rows, so its rows are replayed in order by one task; use ``time_windows`` where this is not required.
-    Times are numbers.
+    all of its earlier rows, so they are replayed in order by one task, which holds one batch of them at a time: a partition
+    is sorted, spilling if need be, and read through. Use ``time_windows`` where this is not required. Times are numbers.
     """
-    import pandas as pd
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", window_start long, window_end long, inside boolean"
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        start, out = None, []
-        for t in rows[time].tolist():
-            if start is None:
-                start = t
-            inside = start <= t <= start + size
-            if not inside:
-                start += slide
-            out.append((start, start + size, inside))
-        return rows.assign(window_start=[x[0] for x in out], window_end=[x[1] for x in out], inside=[x[2] for x in out])
-
-    return df.groupBy(*keys).applyInPandas(replay, schema)
+    import pyarrow as pa
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", window_start long, window_end long, inside boolean"
+
+    def replay(batches):
+        last, start = None, 0
+        for batch in batches:
+            starts, inside = [], []
+            for *key, t in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*keys, time]], strict=True):
+                if key != last:
+                    last, start = key, t
+                inside.append(start <= t <= start + size)
+                start += 0 if inside[-1] else slide
+                starts.append(start)
+            ends = pa.array([x + size for x in starts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), ends, pa.array(inside)], names=[*batch.schema.names, "window_start", "window_end", "inside"])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(replay, schema)
