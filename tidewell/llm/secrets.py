@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import common
 
-WORDED = r"(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|credential|bearer|authorization|private[_-]?key|auth)"
+WORDED = r"(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|credential|bearer|authorization|private[ _-]?key|auth)"
 CUES = rf"(?i){WORDED}\W{{0,8}}$"
 #: Shorter runs are candidates where a cue is assigned to; the first lookbehind is only there to fail early.
 CUED = rf"(?<=[=:]|[=:][\"'`]|[=:]\s{{1,2}}[\"'`]?)(?<=(?i:{WORDED})[\"'`]?\s{{0,2}}[=:]\s{{0,2}}[\"'`]?)"
@@ -97,7 +97,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS, words: tu
     one = lambda salt, *options: F.element_at(F.array(*options), pick(salt, len(options)) + 1)
     terms = [one(f"t{i}", *map(F.lit, words)) if words else F.lit(syllables[i]) for i in range(4)]
     named = one("named", F.concat_ws("_", *terms), F.concat_ws("-", *terms), F.concat_ws("/", *terms), F.concat(*map(F.initcap, terms)), F.upper(F.concat_ws("_", *terms)))
-    secret = one("s", F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.substring(digest("h"), 1, 40), F.substring(base, 1, 40), F.concat(F.lit("ghp_"), F.substring(base, 1, 36)), F.concat(F.lit("sk-"), F.substring(base, 1, 48)), F.substring(digest("i"), 1, 64), F.substring(base, 1, 24))
+    secret = one("s", F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.substring(digest("h"), 1, 40), F.substring(base, 1, 40), F.concat(F.lit("ghp_"), F.substring(base, 1, 36)), F.concat(F.lit("sk-"), F.substring(base, 1, 48)), F.substring(digest("i"), 1, 64), F.substring(base, 1, 24), F.substring(base, 1, 64))
     hexes = F.substring(digest("j"), 1, 32)
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
     innocent = one("n", named, named, named, word, F.upper(word), F.concat(F.initcap(word), F.lit("_"), F.reverse(word)), uuid, F.substring(digest("k"), 1, 40), F.substring(digest("l"), 1, 64), F.repeat(one("r", F.lit("0"), F.lit("x"), F.lit("-"), F.lit("="), F.lit("ab")), pick("q", 20) + 16), F.concat_ws("/", F.substring(word, 1, 8), F.lit("src"), F.substring(word, 5, 9)), F.concat(F.lit("2024"), F.rpad(F.col("id").cast("string"), 14, "0")))
@@ -106,7 +106,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS, words: tu
     secret_before = F.when(~known & (F.col("c") == "the and "), F.lit("token = ")).otherwise(F.col("c"))
     innocent_before = one("d", F.lit("commit "), F.lit("sha256: "), F.lit("the and "), F.lit("etag="), F.lit(". "), F.lit("uuid: "), F.lit("build "), F.lit(" | "))
     rows = spark.range(0, n, 1, 4).withColumn("label", F.when(pick("label", 2) == 0, 1.0).otherwise(0.0))
-    rows = rows.withColumn("c", one("c", F.lit('token = "'), F.lit("api_key: "), F.lit("password='"), F.lit("secret="), F.lit("Authorization: Bearer "), F.lit("the and "), F.lit("access_key = ")))
+    rows = rows.withColumn("c", one("c", F.lit('token = "'), F.lit("api_key: "), F.lit("password='"), F.lit("secret="), F.lit("Authorization: Bearer "), F.lit("the and "), F.lit("access_key = "), F.lit("-----BEGIN RSA PRIVATE KEY-----\n")))
     is_secret = F.col("label") == 1.0
     # Short values are only looked at after a cue, so both labels have one.
     short = pick("short", 8) == 0
