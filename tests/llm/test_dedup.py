@@ -2,15 +2,17 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_ops import DOC, ODD
-from tidewell.llm import common, lines, minhash, quality, suffix
+from tidewell.llm import bpe, common, lines, minhash, quality, suffix
 from tidewell.llm.components import components
 
 
@@ -185,25 +187,11 @@ def test_near_query_equals_brute_force_on_a_whole_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     weights = minhash.weigh(spark.read.parquet(f"{sf}/documents.parquet"))
     texts = sorted({r.text or "" for r in docs})
-    at = {t: i for i, t in enumerate(texts)}
-    posted, total = {}, []
-    for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        _, got, counts = minhash.shingles(raw, np.array([0, len(raw)]))
-        own = weights(got, counts).tolist()
-        total.append(sum(own))
-        for k, w in zip(got.tolist(), own, strict=True):
-            posted.setdefault(k, []).append((i, w))
-    both = Counter()
-    for own in posted.values():
-        for x, (i, w) in enumerate(own):
-            for j, v in own[:x]:
-                both[j, i] += min(w, v)
-    links = [(i, j) for (i, j), w in both.items() if w / (total[i] + total[j] - w) >= minhash.SIMILAR - 1e-9]
-    label, first, want = groups(len(texts), links), {}, {}
+    label, n_links = near_labels(texts, weights)
+    at, first, want = {t: i for i, t in enumerate(texts)}, {}, {}
     for r in docs:
         want[r.doc_id] = first.setdefault(label[at[r.text or ""]], r.doc_id)
-    assert len(links) >= 5 and {r.doc_id: r.class_id for r in minhash.op8_weighted_minhash(spark, sf).collect()} == want
+    assert n_links >= 5 and {r.doc_id: r.class_id for r in minhash.op8_weighted_minhash(spark, sf).collect()} == want
 
 
 def test_near_copies_within_a_template(spark, monkeypatch):
@@ -299,6 +287,96 @@ def test_suffix_of_odd_rows(odd):
     assert suffix.without_repeats(odd).count() == len(ODD) and suffix.without_repeats(odd.limit(0)).count() == 0
 
 
+def near_labels(texts, weights):
+    """A class for each text, by comparing all that share a shingle."""
+    posted, total = {}, []
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, got, counts = minhash.shingles(raw, np.array([0, len(raw)]))
+        own = weights(got, counts).tolist()
+        total.append(sum(own))
+        for k, w in zip(got.tolist(), own, strict=True):
+            posted.setdefault(k, []).append((i, w))
+    both = Counter()
+    for own in posted.values():
+        for x, (i, w) in enumerate(own):
+            for j, v in own[:x]:
+                both[j, i] += min(w, v)
+    links = [(i, j) for (i, j), w in both.items() if w / (total[i] + total[j] - w) >= minhash.SIMILAR - 1e-9]
+    return groups(len(texts), links), len(links)
+
+
+def plain_pipeline(spark, docs, items):
+    """The stages one after another in plain code, over {doc_id: (text, host)}."""
+    low = lambda text: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    clean = lambda line: " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", low(line)) if x)
+    had: dict = {}
+    for text, host in docs.values():
+        for line in text.split("\n"):
+            if clean(line):
+                had.setdefault((host, clean(line)), set()).add(int(hashlib.md5(text.encode()).hexdigest()[:15], 16))
+    over = {k: min(v) for k, v in had.items() if len(v) > quality.MAX_DOCS}
+    kept = {}
+    for i, (text, host) in docs.items():
+        n, _, _, _, repeat = quality.base_counts(text)
+        me = int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+        gone = {k for k, line in enumerate(text.split("\n")) if over.get((host, clean(line)), me) != me}
+        left = n - sum(len(clean(line).split(" ")) for k, line in enumerate(text.split("\n")) if k in gone)
+        if n >= 50 and 100 * repeat <= 50 * n and 5 * left >= n:
+            kept[i] = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+    counts = [len(kept)]
+
+    at = [(i, k, clean(line)) for i, text in sorted(kept.items()) for k, line in enumerate(text.split("\n")) if clean(line)]
+    own = sorted({x for _, _, x in at}, key=len)
+    size = [len(x) for x in own]
+    pairs = []
+    for i, x in enumerate(own):
+        j = i - 1
+        while j >= 0 and size[j] >= size[i] - 1:
+            if size[j] >= lines.PER_EDIT and one_edit(own[j], x):
+                pairs.append((i, j))
+            j -= 1
+    label = dict(zip(own, groups(len(own), pairs), strict=True))
+    seen, gone, total = set(), {}, Counter()
+    for i, k, x in at:
+        total[i] += 1
+        if label[x] in seen:
+            gone.setdefault(i, set()).add(k)
+        seen.add(label[x])
+    kept = {i: "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone.get(i, ())) for i, text in kept.items() if len(gone.get(i, ())) < total[i]}
+    counts.append(len(kept))
+
+    texts = sorted(set(kept.values()))
+    weights = minhash.weigh(spark.createDataFrame([(t,) for t in kept.values()], "text string"))
+    label = dict(zip(texts, near_labels(texts, weights)[0], strict=True))
+    first: dict = {}
+    for i, text in sorted(kept.items()):
+        first.setdefault(label[text], i)
+    kept = {i: kept[i] for i in first.values()}
+    counts.append(len(kept))
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = {tuple(w[i : i + 13]) for w in map(words, items) for i in range(len(w) - 12)}
+    assert all(len(words(t)) >= 13 for t in items)
+    found = lambda w: any(tuple(w[i : i + 13]) in windows for i in range(len(w) - 12))
+    kept = {i: text for i, text in kept.items() if not found(words(text))}
+    return kept, [*counts, len(kept)]
+
+
+def test_pipeline_equals_plain_code(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text or "", r.source or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    kept, counts = plain_pipeline(spark, docs, [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    ranks, pattern = bpe.vocabulary()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert len(docs) > counts[0] >= counts[1] >= counts[2] > counts[3] > 0.5 * len(docs) and got.keys() == kept.keys()
+    for i, text in kept.items():
+        ids = known.encode_ordinary(text)
+        assert got[i].text == text and got[i].n_chars == len(text) and got[i].token_ids == ids
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
