@@ -11,10 +11,10 @@ Equal texts are one node throughout. In a bucket of up to ``PAIRED`` texts each
 all are compared with one of them, drawn by hash, and the bucket is split by the next band, again and again. Candidates
 become links if their exact weighted Jaccard similarity reaches ``SIMILAR``.
 
-Where a larger bucket still holds several classes, all its texts are compared with its hub, the one whose shingles are the
-most common, which joins what random leaders leave apart. Texts of classes that are still apart are then joined through
-an index of their rarest shingles, which misses no pair that is similar enough. So every similar pair of a bucket is
-in one class, though pairs within a class are not all compared.
+Where a larger bucket still holds several classes, all its texts are compared with its hub, the one that shares buckets
+with the most others, which joins what random leaders leave apart. Texts of classes that are still apart are then joined
+through an index of their rarest shingles, which misses no pair that is similar enough. So every similar pair of a
+bucket is in one class, though pairs within a class are not all compared.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ COMMON = 0.05
 BANDS, ROWS = 10, 4
 PAIRED = 12
 BUCKETS = 1 << 16
+#: Counters by which shingles are ordered from rare to common in the prefix index; any order gives the same pairs.
+RARITY_BITS = 18
 WORD = vector.byte_table(lambda b: b not in (9, 10, 11, 12, 13, 32))
 
 _random = np.random.default_rng(77)
@@ -198,60 +200,79 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key``, ``node`` and ``root`` of the texts in buckets of more than ``PAIRED`` that hold more than one class."""
+    """``key``, ``size``, ``node`` and ``root`` of the texts in buckets of more than ``PAIRED`` that hold more than one class."""
     stash = common.Stash(nodes.sparkSession)
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED).select("key")
-    full = stash(rows.join(sizes, "key").join(common.sorted_side(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED)
+    full = stash(rows.join(sizes, "key").join(common.sorted_side(roots), "node", "left").select("key", "size", "node", F.coalesce("root", "node").alias("root")))
     mixed = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     return stash(full.join(mixed, "key", "left_semi"))
 
 
-def weighted(df: DataFrame, weights: Weights) -> DataFrame:
-    """``node``, ``shingle`` and ``weight`` for every distinct shingle of every ``text``."""
-    shared = df.sparkSession.sparkContext.broadcast(weights)
-    node_at, text_at = (df.columns.index(c) for c in ("node", "text"))
-    common.bounded_batches(df.sparkSession)
+def hub_pairs(crowd: DataFrame) -> DataFrame:
+    """Pairs of the texts of a bucket and its hub, where they are of different classes."""
+    score = crowd.groupBy("node").agg(F.sum("size").alias("score"))
+    known = crowd.join(common.sorted_side(score), "node")
+    hubs = known.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), F.struct("score", "node")).alias("best")).select("key", "best.*")
+    return crowd.join(hubs, "key").where("root <> hub_root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How many texts have a shingle of each of 2 ** RARITY_BITS ranges of hashes."""
+    common.bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigher = shared.value
+        sums = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            for a, _, rows, got, counts in chunks(batch.column(text_at)):
-                columns = [batch.column(node_at).take(pa.array(rows + a)), pa.array(got.view(np.int64)), pa.array(weigher(got, counts))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingle", "weight"])
+            for _, _, _, got, _ in chunks(batch.column(0)):
+                sums += np.bincount((got >> vector.U(64 - RARITY_BITS)).astype(np.int64), minlength=len(sums))
+        full = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], names=["key", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    found = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-    return df.mapInArrow(run, "node binary, shingle long, weight double")
 
+def prefixes(texts: DataFrame, weights: Weights, counts: np.ndarray, similar: float) -> DataFrame:
+    """The first shingles of each text, rare ones first, until less than ``similar`` of its weight is left.
 
-def counted_shingles(texts: DataFrame, weights: Weights) -> DataFrame:
-    """``node``, ``shingle``, ``weight``, and ``n``, the number of these texts that have the shingle."""
-    stash = common.Stash(texts.sparkSession)
-    every = stash(weighted(texts, weights))
-    out = stash(every.join(common.sorted_side(every.groupBy("shingle").agg(F.count("*").alias("n"))), "shingle"))
-    stash.drop(every)
-    return out
+    ``left`` is the weight from the shingle on; ``rare`` says whether it is 2 s / (1 + s) of the ``total``. Shingles that no
+    other text has count, and are left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((weights, counts))
+    node_at, root_at, text_at = (texts.columns.index(c) for c in ("node", "root", "text"))
+    common.bounded_batches(texts.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigher, counts = shared.value
+        for batch in batches:
+            for a, b, rows, got, times in chunks(batch.column(text_at)):
+                if not len(rows):
+                    continue
+                n = counts[(got >> vector.U(64 - RARITY_BITS)).astype(np.int64)]
+                order = np.lexsort((got, n, rows))
+                rows, got, n, weight = rows[order], got[order], n[order], weigher(got, times)[order]
+                total = np.bincount(rows, weight, minlength=b - a)
+                left = total[rows] + (np.cumsum(total) - total)[rows] - np.cumsum(weight) + weight
+                share = left / total[rows] + 1e-9
+                keep = (n > 1) & (share >= similar)
+                at = pa.array(rows[keep] + a)
+                columns = [batch.column(node_at).take(at), batch.column(root_at).take(at), pa.array(got[keep].view(np.int64)), pa.array(total[rows][keep]), pa.array(left[keep]), pa.array(share[keep] >= 2 * similar / (1 + similar))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "shingle", "total", "left", "rare"])
 
-def hub_pairs(crowd: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Pairs of the texts of a bucket and its hub, where they are of different classes."""
-    score = shingles.groupBy("node").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("weight")).alias("score"))
-    known = crowd.join(common.sorted_side(score), "node")
-    hubs = known.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), F.struct("score", "node")).alias("best")).select("key", "best.*")
-    return crowd.join(hubs, "key").where("root <> hub_root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    return texts.mapInArrow(run, "node binary, root binary, shingle long, total double, left double, rare boolean")
 
 
-def indexed_pairs(shingles: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+def indexed_pairs(texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
     """Pairs of ``node`` of different ``root`` that may be similar enough: all that are, and few others.
 
-    Shingles are ordered by the number of texts that have them. What two texts share is at most what either has from their
-    first common shingle on. Similar texts share at least s / (1 + s) of the weight of both; so do the rest of either from
-    that shingle on, and that rest is at least ``similar`` of the heavier text and 2 s / (1 + s) of the lighter one.
+    What two texts share is at most what either has from their first common shingle on, in any order of shingles. Similar
+    texts share at least s / (1 + s) of the weight of both; so do the rest of either from that shingle on, and that rest
+    is at least ``similar`` of the heavier text and 2 s / (1 + s) of the lighter one.
     """
-    own = Window.partitionBy("node")
-    before = F.sum("weight").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1))
-    placed = shingles.join(common.sorted_side(roots), "node").withColumns({"total": F.sum("weight").over(own), "before": F.coalesce(before, F.lit(0.0))}).withColumn("left", F.col("total") - F.col("before"))
-    share = F.col("left") / F.col("total") + 1e-9
-    first = common.Stash(shingles.sparkSession)(placed.where((F.col("n") > 1) & (share >= similar)).select("node", "root", "shingle", "total", "left", (share >= 2 * similar / (1 + similar)).alias("rare")))
+    first = common.Stash(texts.sparkSession)(prefixes(texts, weights, rarity(texts), similar))
     light = first.where("rare").select("shingle", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("total").alias("total_u"), F.col("left").alias("left_u"))
     heavy = first.select("shingle", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("total").alias("total_v"), F.col("left").alias("left_v"))
     ordered = F.struct("total_u", "u") < F.struct("total_v", "v")
@@ -318,11 +339,11 @@ def groups(df: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> D
     crowd = crowded(nodes, roots)
     if not crowd.isEmpty():
         # Members of a bucket are candidates, so their texts are known.
-        apart = counted_shingles(known.join(common.sorted_side(crowd.select("node").distinct()), "node", "left_semi"), weights)
-        roots = merged(roots, verified(hub_pairs(crowd, apart)))
+        roots = merged(roots, verified(hub_pairs(crowd)))
         crowd = crowded(nodes, roots)
         if not crowd.isEmpty():
-            roots = merged(roots, verified(indexed_pairs(apart, crowd.select("node", "root").distinct(), similar)))
+            apart = stash(known.join(common.sorted_side(crowd.select("node", "root").distinct()), "node"))
+            roots = merged(roots, verified(indexed_pairs(apart, weights, similar)))
     stash.drop(known)
     stash.drop(nodes)
     return roots
