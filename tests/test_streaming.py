@@ -225,6 +225,14 @@ def test_progress_is_pushed_to_the_gateway(spark, tmp_path, server):
     assert any('batch_rows{query="pushed"} 2' in x and 'batch_duration_ms{query="pushed"}' in x for x in known)
 
 
+def test_texts_on_the_console(spark, tmp_path, capsys):
+    write(spark, str(tmp_path / "in"), [("a", 1), ("b", 1), ("a", 2)], "k string, i long")
+    counted = processors.running_count(spark.readStream.schema("k string, i long").parquet(str(tmp_path / "in")), ["k"], ["i"])
+    told = []
+    sinks.to_lines(counted.select(serde.count_text(F.col("k"), F.col("n")).alias("text")), told.append, checkpoint=str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(told) == ["Count for server-name: <a>: [1]", "Count for server-name: <a>: [2]", "Count for server-name: <b>: [1]"]
+
+
 def test_a_query_with_a_trigger_goes_on_until_stopped(spark, tmp_path):
     write(spark, str(tmp_path / "in"), [(1,)], "i long")
     query = sinks.to_files(spark.readStream.schema("i long").parquet(str(tmp_path / "in")), str(tmp_path / "data"), str(tmp_path / "ckpt"), once=False, settings=Settings(trigger_seconds=0.2))

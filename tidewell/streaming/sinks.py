@@ -39,6 +39,20 @@ def to_files(df: DataFrame, path: str, checkpoint: str, latency_path: str | None
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{settings.trigger_seconds} seconds")).start()
 
 
+def to_lines(df: DataFrame, tell: Callable[[str], None] = print, text: str = "text", checkpoint: str | None = None) -> StreamingQuery:
+    """Hand each text of a stream to a function on the driver, such as ``print``: for looking at small outputs.
+
+    Rows of a micro-batch are fetched a partition at a time.
+    """
+
+    def show(batch: DataFrame, number: int) -> None:
+        for row in batch.select(text).toLocalIterator():
+            tell(row[0])
+
+    writer = df.writeStream.foreachBatch(show).trigger(availableNow=True)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def summary(log: DataFrame) -> DataFrame:
     """Rows, mean, quantiles (nearest rank), extremes, and rows a second of a latency log by ``run``."""
     ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
