@@ -12,7 +12,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import uuid
 from array import array
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -28,7 +30,7 @@ LEAF = 16
 #: Ids whose bytes are looked up at once in decoding.
 LEAF_IDS = 4096
 SCANNED = 64
-CACHED_PIECES = 300_000
+CACHED_PIECES = 100_000
 NEVER = 1 << 62
 
 
@@ -167,18 +169,24 @@ class Encoder:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", into: str = "token_ids") -> DataFrame:
-    """Add ``into``, the array of token ids of the whole text.
+_latest: dict[str, tuple[object, Encoder]] = {}
+
+
+def encoder_of(vocabulary: object, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The encoder that this worker made last, if of the same vocabulary, so that tasks share what is remembered."""
+    kept = _latest.get("encoder")
+    if kept is None or kept[0] != vocabulary:
+        kept = _latest["encoder"] = (vocabulary, Encoder(ranks, pattern))
+    return kept[1]
 
-    Null and empty texts give an empty array; very long ones need memory in proportion to their length; repeated rows
-    are encoded alike; an empty table gives an empty table. ``into`` replaces a column of that name.
-    """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: its size is fixed by the file
-    df = df.drop(into)
+
+def encoding(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, into: str) -> Callable:
+    """What encodes a batch of the rows of ``df``, made on the worker."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size is fixed by the file
+    name = uuid.uuid4().hex
 
     def make():
-        encoder = Encoder(shared.value, pattern)
+        encoder = encoder_of(name, shared.value, pattern)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [encoder.packed(t) for t in common.texts(batch, text_col)]
@@ -189,7 +197,17 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
 
         return run
 
-    return common.arrow_map(df, make, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return make
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", into: str = "token_ids") -> DataFrame:
+    """Add ``into``, the array of token ids of the whole text.
+
+    Null and empty texts give an empty array; very long ones need memory in proportion to their length; repeated rows
+    are encoded alike; an empty table gives an empty table. ``into`` replaces a column of that name.
+    """
+    df = df.drop(into)
+    return common.arrow_map(df, encoding(df, ranks, pattern, text_col, into), T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def up(parts: list[bytes]) -> bytes:
@@ -199,10 +217,9 @@ def up(parts: list[bytes]) -> bytes:
     return parts[0] if parts else b""
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
-    """Add ``into``, the bytes of the ids in ``ids_col``. Null and empty arrays give no bytes; an unknown id fails the job."""
+def decoding(df: DataFrame, ranks: dict[bytes, int], ids_col: str, into: str) -> Callable:
+    """What decodes a batch, made on the worker."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    df = df.drop(into)
 
     def make():
         ranks = shared.value
@@ -239,7 +256,25 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", i
 
         return run
 
-    return common.arrow_map(df, make, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
+    return make
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
+    """Add ``into``, the bytes of the ids in ``ids_col``. Null and empty arrays give no bytes; an unknown id fails the job."""
+    df = df.drop(into)
+    return common.arrow_map(df, decoding(df, ranks, ids_col, into), T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Encode and decode again, by one worker for each task instead of two. Both columns replace those of their names."""
+    df = df.drop(ids, decoded)
+    one, other = encoding(df, ranks, pattern, text_col, ids), decoding(df, ranks, ids, decoded)
+
+    def make():
+        there, back = one(), other()
+        return lambda batch: back(there(batch))
+
+    return common.arrow_map(df, make, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())]))
 
 
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
@@ -263,5 +298,4 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text of ``documents`` and decode the ids again."""
     ranks, pattern = vocabulary()
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, ranks, pattern).drop("text"), ranks)
-    return digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(round_trip(docs, ranks, pattern)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
