@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and digests of ids and of the text decoded from them."""
     ranks, pattern = bpe.vocabulary()
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern), ranks)).drop("decoded")
+    return bpe.digests(bpe.round_trip(docs, ranks, pattern)).drop("decoded")
 
 
 STAGES = [
