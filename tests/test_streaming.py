@@ -225,7 +225,7 @@ def test_progress_is_pushed_to_the_gateway(spark, tmp_path, server):
     assert any('batch_rows{query="pushed"} 2' in x and 'batch_duration_ms{query="pushed"}' in x for x in known)
 
 
-def test_texts_on_the_console(spark, tmp_path, capsys):
+def test_texts_on_the_console(spark, tmp_path):
     write(spark, str(tmp_path / "in"), [("a", 1), ("b", 1), ("a", 2)], "k string, i long")
     counted = processors.running_count(spark.readStream.schema("k string, i long").parquet(str(tmp_path / "in")), ["k"], ["i"])
     told = []
