@@ -12,7 +12,6 @@ a shared one, the windows of shared fingerprints, by 128 bits of hashes. Both gi
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
