@@ -30,7 +30,7 @@ LEAF = 16
 #: Ids whose bytes are looked up at once in decoding.
 LEAF_IDS = 4096
 SCANNED = 64
-CACHED_PIECES = 100_000
+CACHED_PIECES = 150_000
 NEVER = 1 << 62
 
 
@@ -153,11 +153,16 @@ class Encoder:
         self.monoid = Monoid(ranks)
         self.find = regex.compile(pattern).findall
         # Ids are kept as the bytes of 32-bit numbers, which join without a step for each.
-        self.piece = Recent(lambda piece: array("i", self.monoid.piece(piece.encode())).tobytes())
+        self.piece = Recent(self.one)
         self.stretch = Recent(lambda stretch: self.pieces(" " + stretch))
 
+    def one(self, piece: str) -> bytes:
+        return array("i", self.monoid.piece(piece.encode())).tobytes()
+
     def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.find(text)))
+        found = self.find(text)
+        # A stretch that is one piece is remembered as such.
+        return self.one(found[0]) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
 
     def packed(self, text: str) -> bytes:
         if self.beside_space(text):
