@@ -128,7 +128,8 @@ def word_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     A-Z count as a-z, and anything but letters, digits and bytes over 127 parts words.
     """
     starts, ends, rows, hashes = vector.words(data, offs, TERM)
-    _, one = np.unique(np.stack([rows.astype(np.uint64), hashes]), axis=1, return_index=True) if len(rows) else (None, rows)
+    with np.errstate(over="ignore"):
+        _, one = np.unique(vector.mix(hashes + rows.astype(np.uint64) * vector.U(0x9E3779B97F4A7C15)), return_index=True)
     starts, ends, rows, hashes = starts[one], ends[one], rows[one], hashes[one]
     roll = vector.Rolling(vector.LOWER_VALUES[data])
     of = [hashes, *(vector.mix(roll(starts, np.minimum(starts + k, ends)) + vector.U(k)) if len(rows) else hashes for k in STEMS)]
