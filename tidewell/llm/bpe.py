@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import uuid
 from array import array
 from collections.abc import Callable
 from itertools import chain
@@ -30,7 +29,7 @@ LEAF = 16
 #: Ids whose bytes are looked up at once in decoding.
 LEAF_IDS = 4096
 SCANNED = 64
-CACHED_PIECES = 150_000
+CACHED_PIECES = 200_000
 NEVER = 1 << 62
 
 
@@ -150,19 +149,23 @@ class Encoder:
     beside_space = re.compile(r"\A | \Z| \s|\s ").search
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.monoid = Monoid(ranks)
-        self.find = regex.compile(pattern).findall
-        # Ids are kept as the bytes of 32-bit numbers, which join without a step for each.
-        self.piece = Recent(self.one)
-        self.stretch = Recent(lambda stretch: self.pieces(" " + stretch))
+        # Nothing here refers back to the encoder, so that all it remembers goes with the last reference, at the end of a task.
+        self.monoid = monoid = Monoid(ranks)
+        find = regex.compile(pattern).findall
 
-    def one(self, piece: str) -> bytes:
-        return array("i", self.monoid.piece(piece.encode())).tobytes()
+        def one(piece: str) -> bytes:
+            """Ids are kept as the bytes of 32-bit numbers, which join without a step for each."""
+            return array("i", monoid.piece(piece.encode())).tobytes()
 
-    def pieces(self, text: str) -> bytes:
-        found = self.find(text)
-        # A stretch that is one piece is remembered as such.
-        return self.one(found[0]) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
+        known = Recent(one)
+
+        def pieces(text: str) -> bytes:
+            found = find(text)
+            # A stretch that is one piece is remembered as such.
+            return one(found[0]) if len(found) == 1 else b"".join(map(known.__getitem__, found))
+
+        self.pieces = pieces
+        self.stretch = Recent(lambda stretch: pieces(" " + stretch))
 
     def packed(self, text: str) -> bytes:
         if self.beside_space(text):
@@ -174,24 +177,12 @@ class Encoder:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
-_latest: dict[str, tuple[object, Encoder]] = {}
-
-
-def encoder_of(vocabulary: object, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """The encoder that this worker made last, if of the same vocabulary, so that tasks share what is remembered."""
-    kept = _latest.get("encoder")
-    if kept is None or kept[0] != vocabulary:
-        kept = _latest["encoder"] = (vocabulary, Encoder(ranks, pattern))
-    return kept[1]
-
-
 def encoding(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, into: str) -> Callable:
     """What encodes a batch of the rows of ``df``, made on the worker."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size is fixed by the file
-    name = uuid.uuid4().hex
 
     def make():
-        encoder = encoder_of(name, shared.value, pattern)
+        encoder = Encoder(shared.value, pattern)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [encoder.packed(t) for t in common.texts(batch, text_col)]
