@@ -136,6 +136,65 @@ def test_line_query_equals_brute_force(spark, tmp_path, monkeypatch, paired, per
             assert named.setdefault(("ours", ours_is), theirs) == theirs and named.setdefault(("theirs", theirs), ours_is) == ours_is
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_bit_parallel_distance_of_words(spark, k):
+    rng, rows = random.Random(k), []
+    for _ in range(300):
+        x = [rng.choice(["a", "bé", "日", "ab"]) for _ in range(rng.randrange(14))]
+        y = list(x)
+        for _ in range(rng.randrange(k + 2)):
+            p = rng.randrange(len(y) + 1)
+            y[p : p + rng.randrange(2)] = [rng.choice(["a", "bé"])] * rng.randrange(2)
+        if abs(len(x) - len(y)) <= k:
+            rows.append((*sorted([x, y], key=len), levenshtein(x, y)))
+    near = lines.within(F.col("x"), F.col("y"), k, lines.WORDS)
+    out = spark.createDataFrame(rows, "x array<string>, y array<string>, d int").select("d", near.alias("near")).collect()
+    assert len(out) > 200 and all(r.near == (r.d <= k) for r in out)
+
+
+def linked(x, y, per_edit, per_word):
+    """Whether lines are one character or one word apart."""
+    a, b = x.split(" "), y.split(" ")
+    return (min(len(x), len(y)) >= per_edit and one_edit(x, y)) or (min(len(a), len(b)) >= per_word and one_edit(a, b))
+
+
+@pytest.mark.parametrize(("paired", "per_edit", "per_word"), [(32, 8, 8), (2, 3, 4)])
+def test_links_of_a_word_equal_brute_force(spark, tmp_path, monkeypatch, paired, per_edit, per_word):
+    monkeypatch.setattr(lines, "PAIRED", paired)
+    monkeypatch.setattr(lines.marked, "__defaults__", ("doc_id", "text", per_edit))
+    monkeypatch.setattr(lines.marked, "__kwdefaults__", {"per_word": per_word})
+    rng = random.Random(7)
+    base = "one line of the list that all of them were made from at first".split(" ")
+    own = [" ".join(base)]
+    for _ in range(150):  # one to three words changed, put in or taken out
+        x = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            p = rng.randrange(len(x))
+            x[p : p + rng.randrange(2)] = [f"other{rng.randrange(40)}"] * rng.randrange(2)
+        own.append(" ".join(x))
+    own += [f"all lines of this large group differ in {i:02d} alone" for i in range(60)]  # a word, and often a character
+    own += [f"here is one that may be cut{c}off or not at all" for c in "abcdefgh "] + [f"three words{c}here" for c in "abcdefgh "]
+    own += [f"a line of few words{c}so that a space counts" for c in "abcdefghijklmnopqrstuvwxyz0123456789 "] + ["a line of few wordsso that a space counts"]
+    own += [" ".join(rng.choice(["a", "b", "ab"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    own = sorted(set(own))
+    rows = [(i, "\n".join(own[i::17] + own[i::40])) for i in range(17)]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "t/documents.parquet"))
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if linked(own[i], own[j], per_edit, per_word)]
+    assert any(not one_edit(own[i], own[j]) for i, j in pairs)
+    label, degree = dict(zip(own, groups(len(own), pairs), strict=True)), Counter(own[i] for pair in pairs for i in pair)
+    seen: set = set()
+    got = {r.doc_id: r for r in lines.op9_segment_join(spark, str(tmp_path / "t")).collect()}
+    for i, text in rows:
+        kept = []
+        for no, x in enumerate(text.split("\n")):
+            if label[x] not in seen:
+                kept.append(no)
+            seen.add(label[x])
+        assert (got[i].n_lines, got[i].n_links) == (text.count("\n") + 1, sum(degree[x] for x in text.split("\n")))
+        assert got[i].n_removed == got[i].n_lines - len(kept) and got[i].kept_sha256 == hashlib.sha256(",".join(map(str, kept)).encode()).hexdigest()
+
+
 def test_lines_of_odd_rows(odd):
     out = lines.deduplicated(odd)
     assert out.columns == odd.columns and lines.deduplicated(odd.limit(0)).count() == 0
