@@ -195,6 +195,14 @@ def test_links_of_a_word_equal_brute_force(spark, tmp_path, monkeypatch, paired,
         assert got[i].n_removed == got[i].n_lines - len(kept) and got[i].kept_sha256 == hashlib.sha256(",".join(map(str, kept)).encode()).hexdigest()
 
 
+def test_lines_a_word_apart_go_on_request(spark):
+    text = "of all these words in this line one is other"
+    rows = [(1, text, "x"), (2, text.replace("other", "changed") + "\nand a line of its own", "y"), (3, "short other line", "z"), (4, "short changed line", "z")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, more string")
+    got = {r.doc_id: (r.text, r.more) for r in lines.deduplicated(df, per_word=lines.PER_WORD).collect()}
+    assert got == {1: rows[0][1:], 2: ("and a line of its own", "y"), 3: rows[2][1:], 4: rows[3][1:]}
+
+
 def test_lines_of_odd_rows(odd):
     out = lines.deduplicated(odd)
     assert out.columns == odd.columns and lines.deduplicated(odd.limit(0)).count() == 0
