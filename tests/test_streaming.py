@@ -253,3 +253,91 @@ def test_json_modes(spark):
 
 def test_gauge_text():
     assert sinks.gauge("latency_ms", 1.5, op="sink") == '# TYPE latency_ms gauge\nlatency_ms{op="sink"} 1.5\n'
+
+
+def test_rows_of_a_key_are_not_held_at_once(spark, tmp_path):
+    import gc
+
+    from pyspark.sql import Row
+
+    n = 25_000
+    spark.range(n).selectExpr("'a' as k", "(id * 7919) % 25000 as t").coalesce(1).write.parquet(str(tmp_path / "in"))
+    alive = lambda row, kept: sum(isinstance(x, Row) for x in gc.get_objects())
+    out = processors.triggered_window(spark.readStream.schema("k string, t long").parquet(str(tmp_path / "in")), ["k"], ["t"], "t", 10, 5, lambda r: r.t in (9, n - 1), alive)
+    run(out, tmp_path)
+    got = {r.t: r.emitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {9, n - 1} and max(got.values()) < n / 2
+
+
+def frames(values, size=500):
+    """What Spark hands to a processor: order, value, and whether each is null."""
+    import pandas as pd
+
+    rows = pd.DataFrame({"k0": "a", "c0": [i for i, _ in values], "n0": False, "c1": [0.0 if v is None else float(v) for _, v in values], "n1": [v is None for _, v in values]})
+    return (rows.iloc[i : i + size] for i in range(0, len(rows), size))
+
+
+@pytest.mark.parametrize("shape", ["mixed", "sorted", "reversed", "equal"])
+def test_runs_on_disk_give_the_same_sums_and_counts(monkeypatch, shape):
+    import random
+
+    from pyspark.sql.types import DoubleType, LongType, StringType
+
+    from tidewell.streaming import ordering
+    from tidewell.streaming.state import LocalHandle
+
+    for name, value in (("RUN_BYTES", 20_000), ("HEAD", 64), ("FAN", 3)):
+        monkeypatch.setattr(ordering, name, value)
+    n = 12_000
+    values = [(i // 4 if shape == "equal" else i, None if i % 11 < 6 else i % 97) for i in range(n)]
+    given = {"mixed": random.Random(5).sample(values, n), "sorted": values, "reversed": values[::-1], "equal": random.Random(6).sample(values, n)}[shape]
+    columns = ordering.Columns(("k",), ("i", "v"), (LongType(), DoubleType()), (StringType(),), 1)
+    counter, summer = processors.RunningCount(columns, 10), processors.SlidingSum(columns, "v", 5)
+    for p in (counter, summer):
+        p.init(LocalHandle())
+    parts = [given] if shape != "sorted" else [given[:7001], given[7001:]]
+    counted = [x for part in parts for f in counter.handleInputRows(("a",), frames(part), None) for x in zip(f.c0, f.n, strict=True)]
+    assert [x for _, x in counted] == list(range(1, n + 1, 10)) and [i for i, _ in counted] == [values[k - 1][0] for _, k in counted]
+    summed = [(i, None if t is None else float(t)) for part in parts for f in summer.handleInputRows(("a",), frames(part), None) for i, t in zip(f.c0, f.total.astype(object).where(f.total.notna(), None), strict=True)]
+    assert [i for i, _ in summed] == [i for i, _ in values]
+    if shape != "equal":
+        last = [[v for _, v in values[max(0, i - 4) : i + 1] if v is not None] for i in range(n)]
+        assert [t for _, t in summed] == [float(sum(x)) if x else None for x in last]
+
+
+def test_memory_of_ordering_does_not_follow_the_rows(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tidewell.streaming import ordering
+
+    monkeypatch.setattr(ordering, "RUN_BYTES", 1 << 20)
+    monkeypatch.setattr(ordering, "FAN", 4)
+
+    def peak(n):
+        made = (pd.DataFrame({"c0": np.arange(i, n * 10_000, n), "n0": False}) for i in range(n))
+        tracemalloc.start()
+        try:
+            assert sum(len(f) for f in ordering.in_order(made, ["n0", "c0"])) == n * 10_000
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(400) < 1.5 * peak(100)
+
+
+def test_types_and_nulls_of_keys_orders_and_values(spark, tmp_path):
+    schema, source = "k long, t timestamp, d date, s string, i long, v double", str(tmp_path / "in")
+    big = 2**60
+    first = [(None, 1, 1), (None, 2, None), (7, 3, 2.5), (7, None, None), (None, 4, 3), (8, 1, None)]
+    for part in (first, [(None, 5, 4), (8, 6, None), (7, 7, 1.0)]):
+        rows = [(k, i and datetime(2024, 1, 1, 0, 0, i, i), None if i is None else datetime(9999, 12, 31).date(), i and f"x{i}", i and big + i, None if v is None else float(v)) for k, i, v in part]
+        write(spark, source, rows[::-1], schema)
+        run(processors.sliding_sum(spark.readStream.schema(schema).parquet(source), ["k"], "v", 2, ["t", "d", "s", "i"]), tmp_path)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [t for _, t in out.dtypes] == ["bigint", "timestamp", "date", "string", "bigint", "double"]
+    assert {(r.k, r.i and r.i - big, r.total) for r in out.collect()} == {(None, 1, 1.0), (None, 2, 1.0), (None, 4, 3.0), (7, 3, 2.5), (7, None, 2.5), (8, 1, None), (None, 5, 7.0), (8, 6, None), (7, 7, 1.0)}
+    assert {(r.t, r.d, r.s) for r in out.where("i is null").collect()} == {(None, None, None)}
+    assert out.where("i is not null and (second(t) != substr(s, 2) or year(d) != 9999)").isEmpty()

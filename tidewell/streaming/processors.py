@@ -5,27 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewell.streaming.ordering import Columns, in_order
 from tidewell.streaming.state import DequeAccessor, MapAccessor, ValueAccessor
 
 
 class Ordered(StatefulProcessor):
-    """Rows of a key come in any order within a micro-batch: they are sorted first.
+    """Rows of a key come in any order within a micro-batch: they are sorted first, on the disk if there are many.
 
-    What a source gives to one micro-batch bounds what is sorted; order over several is the order of the source.
+    Frames come and go a few thousand rows at a time, as a micro-batch may be a whole table. Order over several
+    micro-batches is the order of the source.
     """
 
-    def __init__(self, keys: tuple[str, ...], order: tuple[str, ...]):
-        self.keys, self.order = keys, order
+    def __init__(self, columns: Columns):
+        self.columns = columns
 
-    def in_order(self, rows: Iterator[Row]) -> list[Row]:
-        return sorted(rows, key=lambda r: tuple(r[c] for c in self.order))
+    def in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = [f"k{i}" for i in range(len(self.columns.keys))]
+        return in_order((frame.drop(columns=keys) for frame in rows), self.columns.by)
 
-    def row(self, key: Any, row: Row, **more: Any) -> Row:
-        return Row(**dict(zip(self.keys, key, strict=True)), **{c: row[c] for c in self.order}, **more)
+    def out(self, key: Any, frame: pd.DataFrame, **more: Any) -> pd.DataFrame:
+        return frame[[c + str(i) for i in range(self.columns.n_order) for c in "cn"]].assign(**{f"k{i}": k for i, k in enumerate(key)}, **more)
 
     def close(self) -> None:
         pass
@@ -34,38 +39,49 @@ class Ordered(StatefulProcessor):
 class RunningCount(Ordered):
     """(key, order columns, n) after each row, or after every ``every``-th."""
 
-    def __init__(self, keys: tuple[str, ...], order: tuple[str, ...], every: int = 1):
-        super().__init__(keys, order)
+    def __init__(self, columns: Columns, every: int = 1):
+        super().__init__(columns)
         self.every = every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = ValueAccessor(handle, "cnt", "bigint", 0)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n = self.count.value()
-        for row in self.in_order(rows):
-            n += 1
-            if self.every == 1 or n % self.every == 1:
-                yield self.row(key, row, n=n)
+        for frame in self.in_order(rows):
+            counts = np.arange(n + 1, n + len(frame) + 1)
+            n += len(frame)
+            shown = np.full(len(counts), True) if self.every == 1 else counts % self.every == 1
+            yield self.out(key, frame[shown], n=counts[shown])
         self.count.update(n)
 
 
 class SlidingSum(Ordered):
-    """(key, order columns, total of the last ``size`` values) after each row."""
+    """(key, order columns, total of the last ``size`` values) after each row. Nulls add nothing; only nulls give null."""
 
-    def __init__(self, keys: tuple[str, ...], order: tuple[str, ...], value: str, size: int):
-        super().__init__(keys, order)
-        self.column, self.size = value, size
+    def __init__(self, columns: Columns, value: str, size: int):
+        super().__init__(columns)
+        self.at, self.size = columns.columns.index(value), size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = DequeAccessor(handle, "last", "double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.last.value()
-        for row in self.in_order(rows):
-            held = [*held, row[self.column]][-self.size :]
-            yield self.row(key, row, total=float(sum(held)))
-        self.last.update(held)
+        values, there = np.array([0.0 if v is None else v for v in held], float), np.array([v is not None for v in held], bool)
+        seen = len(held)
+        for frame in self.in_order(rows):
+            before, n = self.size - 1, len(frame)
+            seen += n
+            missing = max(0, before - len(values))
+            there = np.concatenate([np.zeros(missing, bool), there[len(there) + missing - before :], ~frame[f"n{self.at}"].to_numpy(bool)])
+            values = np.concatenate([np.zeros(missing), values[len(values) + missing - before :], frame[f"c{self.at}"].to_numpy(float)])
+            total, found = np.zeros(n), np.zeros(n, bool)
+            for i in range(self.size):
+                total += values[i : i + n]
+                found |= there[i : i + n]
+            yield self.out(key, frame, total=pd.arrays.FloatingArray(total, ~found))
+        self.last.update([float(v) if t else None for v, t in zip(values[-min(self.size, seen) :], there[-min(self.size, seen) :], strict=True)])
 
 
 class TriggeredWindow(Ordered):
@@ -75,25 +91,34 @@ class TriggeredWindow(Ordered):
     the window. A record outside moves the window by as many slides as it takes, and the rows before it are let go.
     """
 
-    def __init__(self, keys: tuple[str, ...], order: tuple[str, ...], time: str, size: int, slide: int, trigger: Callable[[Row], bool], emit: Callable[[Row, list], float]):
-        super().__init__(keys, order)
-        self.time, self.size, self.slide, self.trigger, self.emit = time, size, slide, trigger, emit
+    def __init__(self, columns: Columns, names: tuple[str, ...], time: str, size: int, slide: int, trigger: Callable[[Row], bool], emit: Callable[[Row, list], float]):
+        super().__init__(columns)
+        self.names, self.time, self.size, self.slide, self.trigger, self.emit = names, time, size, slide, trigger, emit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.start = ValueAccessor(handle, "start", "bigint")
         self.kept = DequeAccessor(handle, "kept", "bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def rows(self, frame: pd.DataFrame) -> Iterator[Row]:
+        columns = self.columns.columns
+        made = Row(*self.names)
+        return (made(*values) for values in zip(*[self.columns.values(frame, columns.index(c)) for c in self.names], strict=True))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         start, kept = self.start.value(), self.kept.value()
-        for row in self.in_order(rows):
-            t = row[self.time]
-            start = t if start is None else start
-            if t > start + self.size:
-                start += -(-(t - start - self.size) // self.slide) * self.slide
-                kept = [x for x in kept if x >= start]
-            kept.append(t)
-            if start <= t and self.trigger(row):
-                yield self.row(key, row, emitted=float(self.emit(row, kept)))
+        for frame in self.in_order(rows):
+            places, emitted = [], []
+            for place, row in enumerate(self.rows(frame)):
+                t = row[self.time]
+                start = t if start is None else start
+                if t > start + self.size:
+                    start += -(-(t - start - self.size) // self.slide) * self.slide
+                    kept = [x for x in kept if x >= start]
+                kept.append(t)
+                if start <= t and self.trigger(row):
+                    places.append(place)
+                    emitted.append(float(self.emit(row, kept)))
+            yield self.out(key, frame.iloc[places], emitted=np.array(emitted, float))
         self.start.update(start)
         self.kept.update(kept)
 
@@ -136,17 +161,26 @@ def schema_of(df: DataFrame, columns: list[str], last: str) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns) + f", {last}"
 
 
+def ordered(df: DataFrame, columns: Columns, processor: Ordered, last: str) -> DataFrame:
+    keys = [f"k{i}" for i in range(len(columns.keys))]
+    out = columns.encoded(df).groupBy(*keys).transformWithStateInPandas(processor, f"{columns.schema}, {last}", "Append", "None")
+    return columns.decoded(out, last.split()[0])
+
+
 def running_count(df: DataFrame, keys: list[str], order: list[str], every: int = 1) -> DataFrame:
     """The exact changelog of counts of a stream."""
-    return df.groupBy(*keys).transformWithState(RunningCount(tuple(keys), tuple(order), every), schema_of(df, [*keys, *order], "n bigint"), "Append", "None")
+    columns = Columns.of(df, keys, order)
+    return ordered(df, columns, RunningCount(columns, every), "n bigint")
 
 
 def sliding_sum(df: DataFrame, keys: list[str], value: str, size: int, order: list[str]) -> DataFrame:
-    return df.groupBy(*keys).transformWithState(SlidingSum(tuple(keys), tuple(order), value, size), schema_of(df, [*keys, *order], "total double"), "Append", "None")
+    columns = Columns.of(df, keys, order, value)
+    return ordered(df, columns, SlidingSum(columns, value, size), "total double")
 
 
 def triggered_window(df: DataFrame, keys: list[str], order: list[str], time: str, size: int, slide: int, trigger: Callable[[Row], bool], emit: Callable[[Row, list], float]) -> DataFrame:
-    return df.groupBy(*keys).transformWithState(TriggeredWindow(tuple(keys), tuple(order), time, size, slide, trigger, emit), schema_of(df, [*keys, *order], "emitted double"), "Append", "None")
+    columns = Columns.of(df, keys, order, *df.columns)
+    return ordered(df, columns, TriggeredWindow(columns, tuple(df.columns), time, size, slide, trigger, emit), "emitted double")
 
 
 def at_watermark(df: DataFrame, keys: list[str], time_ms: str, size_ms: int, add: Callable[[float, Row], float], expire: Callable[[Any, int, float], float]) -> DataFrame:
