@@ -341,3 +341,34 @@ def test_types_and_nulls_of_keys_orders_and_values(spark, tmp_path):
     assert {(r.k, r.i and r.i - big, r.total) for r in out.collect()} == {(None, 1, 1.0), (None, 2, 1.0), (None, 4, 3.0), (7, 3, 2.5), (7, None, 2.5), (8, 1, None), (None, 5, 7.0), (8, 6, None), (7, 7, 1.0)}
     assert {(r.t, r.d, r.s) for r in out.where("i is null").collect()} == {(None, None, None)}
     assert out.where("i is not null and (second(t) != substr(s, 2) or year(d) != 9999)").isEmpty()
+
+
+def test_a_count_gives_frames_and_holds_few_rows(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import LongType, StringType
+
+    from tidewell.streaming import ordering
+    from tidewell.streaming.state import LocalHandle
+
+    monkeypatch.setattr(ordering, "RUN_BYTES", 1 << 20)
+    monkeypatch.setattr(ordering, "FAN", 4)
+
+    def peak(n):
+        counter = processors.RunningCount(ordering.Columns(("k",), ("i",), (LongType(),), (StringType(),), 1))
+        counter.init(LocalHandle())
+        made = (pd.DataFrame({"k0": "a", "c0": np.arange(i, n * 10_000, n), "n0": False}) for i in range(n))
+        seen = 0
+        tracemalloc.start()
+        try:
+            for frame in counter.handleInputRows(("a",), made, None):
+                assert len(frame) <= ordering.HEAD and (frame.c0 + 1 == frame.n).all() and frame.n.iloc[0] == seen + 1
+                seen += len(frame)
+            assert seen == n * 10_000 == counter.count.value()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(200) < 1.5 * peak(50)
